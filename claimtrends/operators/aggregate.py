@@ -20,15 +20,17 @@ TOTALS = {
 def _total(source: str, decimals: int | None) -> Column:
     if decimals is None or source == "prescriptions":
         return F.sum(source)
-    return F.sum(F.col(source).cast(f"decimal(18,{decimals})")).cast("double")
+    scale = float(10**decimals)
+    return F.sum(F.round(F.col(source) * scale).cast("bigint")) / scale
 
 
 def quarterly_totals(df: DataFrame, decimals: int | None = None) -> DataFrame:
     """Five sums per state, drug, product and quarter; unknown measures count as 0.
 
     Sums combine on the map side, so a key that holds a third of all claims sends one
-    row per task. ``decimals`` adds amounts as exact decimals: the totals then do not
-    depend on the order of addition. Use it when inputs have no more decimals than that.
+    row per task. ``decimals`` adds amounts as whole numbers of their last decimal: the
+    totals then do not depend on the order of addition. Use it when inputs have no more
+    decimals than that; a sum too large for a long raises.
     """
     filled = df.fillna(dict.fromkeys(CLAIM_MEASURES, 0))
     totals = [_total(source, decimals).alias(name) for name, source in TOTALS.items()]

@@ -89,7 +89,13 @@ def cleanse(df: DataFrame) -> DataFrame:
     flags = [c for c in ("invalid_quarter", "invalid_state", "invalid_ndc") if c in df.columns]
     for name in flags:
         df = df.where(~F.col(name))
-    df = df.dropna(subset=["state", "ndc11_normalized", "quarter_start"])
+    # One condition per column, so that each can be pushed to its own side of a join. The
+    # code flag covers a null code, so the code is not derived once more for it.
+    needed = ["state", "quarter_start"]
+    if "invalid_ndc" not in flags:
+        needed.append("ndc11_normalized")
+    for name in needed:
+        df = df.where(F.col(name).isNotNull())
     return nonnegative_measures(df)
 
 

@@ -23,6 +23,17 @@ LOOKBACK = 7
 Columns = dict[str, Column]
 
 
+class _Frames:
+    """The windows of a series: its row order and the frames used on it."""
+
+    def __init__(self, spec: SeriesSpec):
+        self.measures = spec.measures
+        self.growing = [(m, c) for m, c in spec.measures if m in GROWTH_MEASURES]
+        self.rows = spec.ordered()
+        self.last4 = self.rows.rowsBetween(-3, 0)
+        self.prior4 = self.rows.rowsBetween(-7, -4)
+
+
 def _derive(df: DataFrame, inputs: Columns, *steps: Columns) -> DataFrame:
     """Add window inputs at once, then each step of derived columns, then drop inputs."""
     out = df.withColumns(inputs)
@@ -31,14 +42,14 @@ def _derive(df: DataFrame, inputs: Columns, *steps: Columns) -> DataFrame:
     return out.drop(*[name for name in inputs if name.startswith("__")])
 
 
-def _previous(spec: SeriesSpec) -> Columns:
-    return {f"__prev_{m}": F.lag(c, 1).over(spec.ordered()) for m, c in spec.measures}
+def _previous(frames: _Frames) -> Columns:
+    return {f"__prev_{m}": F.lag(c, 1).over(frames.rows) for m, c in frames.measures}
 
 
-def _changes(spec: SeriesSpec, infinite: bool = False) -> Columns:
+def _changes(frames: _Frames, infinite: bool = False) -> Columns:
     """Relative change to the previous row. From zero it is null, or signed infinity."""
     out = {}
-    for m, c in spec.measures:
+    for m, c in frames.measures:
         value, prev = F.col(c), F.col(f"__prev_{m}")
         change = F.when(prev != 0, (value - prev) / prev)
         if infinite:
@@ -49,47 +60,46 @@ def _changes(spec: SeriesSpec, infinite: bool = False) -> Columns:
     return out
 
 
-def _rolling(spec: SeriesSpec) -> Columns:
-    last4 = spec.ordered().rowsBetween(-3, 0)
+def _rolling(frames: _Frames) -> Columns:
     out = {}
-    for m, c in spec.measures:
-        out[f"t4q_{m}_avg"] = F.avg(c).over(last4)
-        out[f"t4q_{m}_std"] = F.stddev_samp(c).over(last4)
+    for m, c in frames.measures:
+        out[f"t4q_{m}_avg"] = F.avg(c).over(frames.last4)
+        out[f"t4q_{m}_std"] = F.stddev_samp(c).over(frames.last4)
     return out
 
 
-def _variation(spec: SeriesSpec) -> Columns:
+def _variation(frames: _Frames) -> Columns:
     out = {}
-    for m, _ in spec.measures:
+    for m, _ in frames.measures:
         mean, spread = F.col(f"t4q_{m}_avg"), F.col(f"t4q_{m}_std")
         out[f"cv_{m}"] = F.when(mean > 0, spread / mean)
     return out
 
 
-def _growth_measures(spec: SeriesSpec) -> list[tuple[str, str]]:
-    return [(m, c) for m, c in spec.measures if m in GROWTH_MEASURES]
-
-
-def _growth_sums(spec: SeriesSpec) -> Columns:
-    last4 = spec.ordered().rowsBetween(-3, 0)
-    prior4 = spec.ordered().rowsBetween(-7, -4)
+def _growth_sums(frames: _Frames) -> Columns:
     out = {}
-    for m, c in _growth_measures(spec):
-        out[f"__last4_{m}"] = F.sum(c).over(last4)
-        out[f"__prior4_{m}"] = F.sum(c).over(prior4)
-    out["__prior_rows"] = F.count(F.lit(1)).over(prior4)
+    for m, c in frames.growing:
+        out[f"__last4_{m}"] = F.sum(c).over(frames.last4)
+        out[f"__prior4_{m}"] = F.sum(c).over(frames.prior4)
+    out["__prior_rows"] = F.count(F.lit(1)).over(frames.prior4)
     return out
 
 
-def _growth(spec: SeriesSpec, min_prior: int) -> Columns:
+def _growth(frames: _Frames, min_prior: int) -> Columns:
     out = {}
-    for m, _ in _growth_measures(spec):
+    for m, _ in frames.growing:
         last, prior = F.col(f"__last4_{m}"), F.col(f"__prior4_{m}")
         enough = (prior > 0) & (F.col("__prior_rows") >= min_prior)
         out[f"rolling_4q_growth_{m}"] = F.when(enough, (last - prior) / prior)
     return out
 
 
+def _lags(frames: _Frames, lags: Sequence[int]) -> Columns:
+    return {
+        f"{m}_lag_{k}q": F.lag(c, k).over(frames.rows) for k in lags for m, c in frames.measures
+    }
+
+
 def _direction(change: Column) -> Column:
     return (
         F.when(change > TREND_STEP, "increasing")
@@ -98,45 +108,46 @@ def _direction(change: Column) -> Column:
     )
 
 
-def _directions(spec: SeriesSpec) -> Columns:
+def _directions(frames: _Frames) -> Columns:
     return {
-        f"trend_direction_{m}": _direction(F.col(f"qoq_{m}_change"))
-        for m, _ in _growth_measures(spec)
+        f"trend_direction_{m}": _direction(F.col(f"qoq_{m}_change")) for m, _ in frames.growing
     }
 
 
 def qoq_change(df: DataFrame, spec: SeriesSpec = DRUG_SERIES) -> DataFrame:
-    return _derive(df, _previous(spec), _changes(spec))
+    frames = _Frames(spec)
+    return _derive(df, _previous(frames), _changes(frames))
 
 
 def rolling_stats(df: DataFrame, spec: SeriesSpec = DRUG_SERIES) -> DataFrame:
     """Mean and sample deviation of the last four rows, fewer at the start."""
-    return _derive(df, _rolling(spec))
+    frames = _Frames(spec)
+    return _derive(df, _rolling(frames))
 
 
 def variation(df: DataFrame, spec: SeriesSpec = DRUG_SERIES) -> DataFrame:
     """Rolling statistics and their coefficient of variation."""
-    return _derive(df, _rolling(spec), _variation(spec))
+    frames = _Frames(spec)
+    return _derive(df, _rolling(frames), _variation(frames))
 
 
 def rolling_growth(
     df: DataFrame, spec: SeriesSpec = DRUG_SERIES, min_prior: int = 1
 ) -> DataFrame:
     """Last four rows against the four before; ``min_prior=4`` asks for all four."""
-    return _derive(df, _growth_sums(spec), _growth(spec, min_prior))
+    frames = _Frames(spec)
+    return _derive(df, _growth_sums(frames), _growth(frames, min_prior))
 
 
 def trend_direction(df: DataFrame, spec: SeriesSpec = DRUG_SERIES) -> DataFrame:
-    return _derive(df, _previous(spec), _changes(spec), _directions(spec))
+    frames = _Frames(spec)
+    return _derive(df, _previous(frames), _changes(frames), _directions(frames))
 
 
 def lag_features(
     df: DataFrame, spec: SeriesSpec = DRUG_SERIES, lags: Sequence[int] = DEFAULT_LAGS
 ) -> DataFrame:
-    return df.withColumns({
-        f"{m}_lag_{k}q": F.lag(c, k).over(spec.ordered())
-        for k in lags for m, c in spec.measures
-    })
+    return df.withColumns(_lags(_Frames(spec), lags))
 
 
 def trend_features(
@@ -146,24 +157,24 @@ def trend_features(
     min_prior: int = 1,
 ) -> DataFrame:
     """All trend features, and lags if asked for, over one window."""
-    inputs = {**_previous(spec), **_rolling(spec), **_growth_sums(spec)}
-    for k in lags:
-        for m, c in spec.measures:
-            inputs[f"{m}_lag_{k}q"] = F.lag(c, k).over(spec.ordered())
-    derived = {**_changes(spec), **_variation(spec), **_growth(spec, min_prior)}
-    return _derive(df, inputs, derived, _directions(spec))
+    frames = _Frames(spec)
+    inputs = {
+        **_previous(frames), **_rolling(frames), **_growth_sums(frames), **_lags(frames, lags),
+    }
+    derived = {**_changes(frames), **_variation(frames), **_growth(frames, min_prior)}
+    return _derive(df, inputs, derived, _directions(frames))
 
 
 def qoq_change_by_product(df: DataFrame, spec: SeriesSpec = PRODUCT_SERIES) -> DataFrame:
     """Changes along a product name; a rise from zero is infinite."""
-    return _derive(df, _previous(spec), _changes(spec, infinite=True))
+    frames = _Frames(spec)
+    return _derive(df, _previous(frames), _changes(frames, infinite=True))
 
 
-def _product_rolling(spec: SeriesSpec) -> Columns:
-    last4 = spec.ordered().rowsBetween(-3, 0)
+def _product_rolling(frames: _Frames) -> Columns:
     return {
-        "rolling_4q_spend_avg": F.avg("total_spend").over(last4),
-        "rolling_4q_spend_std": F.stddev_samp("total_spend").over(last4),
+        "rolling_4q_spend_avg": F.avg("total_spend").over(frames.last4),
+        "rolling_4q_spend_std": F.stddev_samp("total_spend").over(frames.last4),
     }
 
 
@@ -173,11 +184,12 @@ def _product_variation() -> Columns:
 
 
 def rolling_stats_by_product(df: DataFrame, spec: SeriesSpec = PRODUCT_SERIES) -> DataFrame:
-    return _derive(df, _product_rolling(spec), _product_variation())
+    frames = _Frames(spec)
+    return _derive(df, _product_rolling(frames), _product_variation())
 
 
-def _fourth_last(spec: SeriesSpec) -> Columns:
-    return {"__first": F.lag("total_spend", 3).over(spec.ordered())}
+def _fourth_last(frames: _Frames) -> Columns:
+    return {"__first": F.lag("total_spend", 3).over(frames.rows)}
 
 
 def _endpoint_growth() -> Columns:
@@ -188,13 +200,15 @@ def _endpoint_growth() -> Columns:
 
 def endpoint_growth(df: DataFrame, spec: SeriesSpec = PRODUCT_SERIES) -> DataFrame:
     """Last row of a four-row frame against its first; 0 for short frames or from zero."""
-    return _derive(df, _fourth_last(spec), _endpoint_growth())
+    frames = _Frames(spec)
+    return _derive(df, _fourth_last(frames), _endpoint_growth())
 
 
 def product_trends(df: DataFrame, spec: SeriesSpec = PRODUCT_SERIES) -> DataFrame:
     """The dashboard's features: changes, rolling statistics and endpoint growth."""
-    inputs = {**_previous(spec), **_product_rolling(spec), **_fourth_last(spec)}
+    frames = _Frames(spec)
+    inputs = {**_previous(frames), **_product_rolling(frames), **_fourth_last(frames)}
     derived = {
-        **_changes(spec, infinite=True), **_product_variation(), **_endpoint_growth(),
+        **_changes(frames, infinite=True), **_product_variation(), **_endpoint_growth(),
     }
     return _derive(df, inputs, derived)

@@ -1,45 +1,35 @@
-"""Quantiles per group without gathering a group in one task."""
+"""Quantiles per group, or of the whole table, without gathering a group in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import attach
 
 ACCURACY = 10_000
-# A single group can afford a larger sketch, exact up to a million rows.
-SINGLE_GROUP_ACCURACY = 1_000_000
+# Ten times the rank error of the sketch.
 MARGIN = 0.001
 SMALL_GROUP = 10_000
 
 
 def approx_quantiles(
-    df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str]
 ) -> DataFrame:
     """One row per group. Sketches combine on the map side and have a bounded size."""
     names, points = list(quantiles), list(quantiles.values())
-    accuracy = ACCURACY if by else SINGLE_GROUP_ACCURACY
-    sketch = F.percentile_approx(value, points, accuracy).alias("__q")
+    sketch = F.percentile_approx(value, points, ACCURACY).alias("__q")
     return df.groupBy(*by).agg(sketch).select(
         *by, *[F.col("__q")[i].alias(name) for i, name in enumerate(names)]
     )
 
 
-def exact_quantile(
-    df: DataFrame, value: str, quantile: float, by: tuple[str, ...], name: str
-) -> DataFrame:
-    """Interpolated quantile per group, one row per group.
-
-    A sketch brackets the wanted rank within ``MARGIN`` of the group; only values inside
-    the bracket are then ordered, the rows below are just counted. A group of up to
-    ``SMALL_GROUP`` rows is ordered whole. ``df`` is read twice.
-    """
-    known = df.select(*by, value).where(F.col(value).isNotNull())
+def _bracket(known: DataFrame, value: str, quantile: float, by: tuple[str, ...]) -> DataFrame:
+    """Size of each group and two values that enclose the wanted rank."""
     edges = [max(quantile - MARGIN, 0.0), min(quantile + MARGIN, 1.0)]
-    brackets = known.groupBy(*by).agg(
+    found = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"),
         F.percentile_approx(value, edges, ACCURACY).alias("__edges"),
         F.min(value).alias("__min"),
@@ -49,26 +39,57 @@ def exact_quantile(
     small = F.col("__n") <= SMALL_GROUP
     low = F.when(small, F.col("__min")).otherwise(F.col("__edges")[0])
     high = F.when(small, F.col("__max")).otherwise(F.col("__edges")[1])
-    brackets = brackets.select(*by, "__n", low.alias("__low"), high.alias("__high"))
-    near = attach(known, brackets, by).where(F.col(value) <= F.col("__high"))
+    return found.select(*by, "__n", low.alias("__low"), high.alias("__high"))
+
+
+def _with_bracket(known: DataFrame, bracket: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    if by:
+        return attach(known, bracket, by)
+    one_row = bracket.select(F.struct("__n", "__low", "__high")).scalar()
+    return known.withColumns({c: one_row[c] for c in ("__n", "__low", "__high")})
+
+
+def exact_quantile(
+    df: DataFrame,
+    value: str,
+    quantile: float,
+    by: tuple[str, ...],
+    name: str,
+    interpolate: bool = True,
+) -> DataFrame:
+    """Exact quantile per group, or of the table when ``by`` is empty, one row per group.
+
+    With ``interpolate`` it lies between the two nearest values, otherwise it is the first
+    value that covers the share. A sketch brackets the wanted rank within ``MARGIN`` of the
+    group; only distinct values inside the bracket are then ordered and the rows below are
+    counted. A group of up to ``SMALL_GROUP`` rows is ordered whole. ``df`` is read twice.
+    """
+    known = df.select(*by, value).where(F.col(value).isNotNull())
+    bracket = _bracket(known, value, quantile, by)
+    near = _with_bracket(known, bracket, by).where(F.col(value) <= F.col("__high"))
     inside = F.when(F.col(value) >= F.col("__low"), F.col(value))
     steps = near.groupBy(*by, inside.alias("__value")).agg(
-        F.count(F.lit(1)).alias("__rows"), F.first("__n").alias("__n")
+        F.count(F.lit(1)).alias("__rows"), F.max("__n").alias("__n")
     )
     upto = Window.partitionBy(*by).orderBy(F.col("__value").asc_nulls_first())
-    rank = (F.col("__n") - 1) * quantile
+    if interpolate:
+        rank: Column = (F.col("__n") - 1) * quantile
+    else:
+        rank = F.greatest(F.ceil(F.col("__n") * quantile) - 1, F.lit(0)).cast("double")
     steps = steps.withColumns({"__upto": F.sum("__rows").over(upto), "__rank": rank})
-    at = {
-        "__a": F.min(F.when(F.col("__upto") > F.floor("__rank"), F.col("__value"))),
-        "__b": F.min(F.when(F.col("__upto") > F.ceil("__rank"), F.col("__value"))),
-        "__below": F.coalesce(F.max(F.when(F.col("__value").isNull(), F.col("__upto"))), F.lit(0)),
-        "__rank": F.first("__rank"),
-    }
-    found = steps.groupBy(*by).agg(*[column.alias(key) for key, column in at.items()])
+    covers = {"__a": F.floor("__rank"), "__b": F.ceil("__rank")}
+    below = F.max(F.when(F.col("__value").isNull(), F.col("__upto")))
+    found = steps.groupBy(*by).agg(
+        *[
+            F.min(F.when(F.col("__upto") > index, F.col("__value"))).alias(key)
+            for key, index in covers.items()
+        ],
+        F.coalesce(below, F.lit(0)).alias("__below"),
+        F.max("__rank").alias("__rank"),
+    )
     bracketed = (F.col("__below") <= F.floor("__rank")) & F.col("__b").isNotNull()
     share = F.col("__rank") - F.floor("__rank")
-    value_at_rank = F.col("__a") + (F.col("__b") - F.col("__a")) * share
-    checked = F.when(bracketed, value_at_rank).otherwise(
-        F.raise_error(F.lit("the sketch missed the wanted rank"))
-    )
-    return found.select(*by, checked.alias(name))
+    between = F.col("__a") + (F.col("__b") - F.col("__a")) * share
+    missed = F.raise_error(F.lit("the sketch missed the wanted rank"))
+    checked = F.when(F.col("__rank").isNull(), F.lit(None)).when(bracketed, between)
+    return found.select(*by, checked.otherwise(missed).alias(name))

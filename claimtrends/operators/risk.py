@@ -41,11 +41,11 @@ def spend_percentiles(
 
 
 def spend_percentiles_global(df: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
-    """The same over all rows: one sketch, used as a scalar subquery."""
-    wanted = _quantiles(rules)
-    table = approx_quantiles(df, "total_spend", wanted)
-    both = table.select(F.struct(*wanted).alias("q")).scalar()
-    return df.withColumns({name: both[name] for name in wanted})
+    """The same over all rows. Both percentiles are exact and enter as scalar subqueries."""
+    return df.withColumns({
+        name: exact_quantile(df, "total_spend", q, (), name, interpolate=False).scalar()
+        for name, q in _quantiles(rules).items()
+    })
 
 
 def risk_flags(df: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:

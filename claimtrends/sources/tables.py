@@ -14,7 +14,13 @@ from .session import shared_folder
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite ``path``; ``partition_by`` lets later state filters prune folders."""
+    """Overwrite ``path``; ``partition_by`` lets later state filters prune folders.
+
+    Rows of a folder are then brought together first, in evenly sized parts, so that a
+    folder has few files and a large one still has many writers.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from claimtrends.operators.canonical import add_normalized_ndc, add_quarter_start
 
-MONEY = "decimal(18,2)"
-
 # First header variant of each canonical column the tables can fill.
 HEADERS = {
     "record_type": "Utilization Type",
@@ -42,13 +40,19 @@ def _line_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _whole(value: Column) -> Column:
+    """A number with two decimals as a whole number of hundredths."""
+    return F.round(value * 100).cast("bigint")
+
+
 def _amounts() -> dict[str, Column]:
-    total = F.col("l_extendedprice").cast(MONEY)
-    other = F.round(total * F.col("l_discount").cast(MONEY), 2).cast(MONEY)
+    """Total, and its parts split by the discount to the nearest cent, half up."""
+    total = _whole(F.col("l_extendedprice"))
+    other = F.floor((total * _whole(F.col("l_discount")) + 50) / 100)
     return {
-        "total_amount": total.cast("double"),
-        "medicaid_amount": (total - other).cast(MONEY).cast("double"),
-        "non_medicaid_amount": other.cast("double"),
+        "total_amount": total / 100,
+        "medicaid_amount": (total - other) / 100,
+        "non_medicaid_amount": other / 100,
     }
 
 
