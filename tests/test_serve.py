@@ -1,0 +1,132 @@
+import datetime as dt
+
+import pytest
+from conftest import quarter, series
+
+from claimtrends.operators import serve
+from claimtrends.operators.features import product_trends, trend_features
+from claimtrends.operators.joins import combined_join
+from claimtrends.operators.risk import flag_risks
+from claimtrends.columns import PRODUCT_SERIES
+
+
+@pytest.fixture(scope="module")
+def table(aggregates):
+    """TX ends a quarter before CA; one code has two names, one of them null."""
+    return aggregates([
+        *series([10.0, 20.0, 30.0], "CA", "1", "A"),
+        *series([5.0, 5.0, 50.0], "CA", "2", "B"),
+        ("CA", "2", None, 2, 7.0),
+        *series([100.0, 90.0], "TX", "1", "A"),
+    ])
+
+
+@pytest.fixture(scope="module")
+def risks(table):
+    return flag_risks(trend_features(table)).cache()
+
+
+def test_latest_quarter_is_per_state(risks):
+    rows = serve.top_spend_latest(risks).collect()
+    assert [(r.state, r.total_spend) for r in rows] == [("TX", 90.0), ("CA", 50.0), ("CA", 30.0), ("CA", 7.0)]
+    assert [r.state for r in serve.top_spend_latest(risks, "CA", 2).collect()] == ["CA", "CA"]
+    stored = serve.latest_quarters(risks).cache()
+    assert serve.top_spend_latest(risks, latest=stored).collect() == rows
+
+
+def test_latest_quarter_global_leaves_states_out(table):
+    assert {r.state for r in serve.latest_quarter_global(table).collect()} == {"CA"}
+
+
+def test_top_risers_need_a_change(risks):
+    rows = serve.top_risers_latest(risks).collect()
+    assert all(r.qoq_spend_change is not None for r in rows)
+    changes = [r.qoq_spend_change for r in rows]
+    assert changes == sorted(changes, reverse=True)
+
+
+def test_ties_do_not_depend_on_partitions(spark, aggregates):
+    rows = [("CA", f"{n:02d}", "A", 0, 5.0) for n in range(30)]
+    tops = [
+        [r.ndc11_normalized for r in serve.top_spend_latest_global(aggregates(rows).repartition(p)).collect()]
+        for p in (1, 3, 8)
+    ]
+    assert tops[0] == tops[1] == tops[2] == [f"{n:02d}" for n in range(10)]
+
+
+def test_latest_per_series_breaks_ties_by_product(table):
+    rows = serve.latest_per_series(table).collect()
+    assert {(r.state, r.ndc11_normalized, r.product_name_fda10) for r in rows} == {
+        ("CA", "1", "A"), ("CA", "2", None), ("TX", "1", "A"),
+    }
+
+
+def test_filters(table):
+    assert serve.filter_states(table, []).count() == table.count()
+    assert serve.filter_states(table, ["TX"]).count() == 2
+    assert serve.filter_quarter_range(table, quarter(1), quarter(1)).count() == 3
+
+
+def test_history_is_ordered(risks):
+    rows = serve.history_by_series(risks, "CA", "1").collect()
+    assert [r.quarter_start for r in rows] == [quarter(0), quarter(1), quarter(2)]
+    by_name = serve.history_by_product(risks, "CA", "B").collect()
+    assert [r.total_spend for r in by_name] == [5.0, 5.0, 50.0]
+
+
+def test_watchlist_order_and_latest_only(risks):
+    rows = serve.watchlist(risks).collect()
+    keys = [(-r.risk_score, -r.total_spend) for r in rows]
+    assert keys == sorted(keys) and {r.risk_level for r in rows} <= {"high", "medium"}
+    assert serve.watchlist(risks, latest_only=True).count() <= 3
+    assert {r.state for r in serve.watchlist(risks, "TX").collect()} <= {"TX"}
+
+
+def test_combined_join_keeps_every_row_once(table, risks):
+    out = combined_join(table, trend_features(table), risks)
+    assert out.count() == table.count()
+    assert len(out.columns) == len(set(out.columns)) == len(risks.columns)
+    assert sorted(out.select(*risks.columns).collect(), key=str) == sorted(risks.collect(), key=str)
+
+
+def test_kpis_and_universe(table):
+    kpi = serve.kpi_summary(table).first()
+    assert (kpi.total_spend, kpi.unique_drugs, kpi.states, kpi.latest_month) == (317.0, 2, 2, "2020-07")
+    universe = serve.universe_summary(table).first()
+    assert universe.total_state_drug_combinations == 3
+    assert universe.earliest_quarter == dt.date(2020, 1, 1)
+
+
+def test_pairs_with_a_null_are_not_counted(aggregates):
+    rows = aggregates([(None, "1", "A", 0, 1.0), ("CA", "1", "A", 0, 1.0), ("C", "A1", "A", 0, 1.0)])
+    row = serve.universe_summary(rows).first()
+    assert (row.total_states, row.total_drugs, row.total_state_drug_combinations) == (2, 2, 2)
+
+
+def test_summaries(risks):
+    counts = {(r.state, r.risk_level): r.drug_count for r in serve.risk_summary(risks).collect()}
+    assert sum(counts.values()) == risks.count()
+    ordered = serve.risk_summary_ordered(risks).collect()
+    rank = {"high": 1, "medium": 2, "low": 3}
+    keys = [(r.state, rank[r.risk_level]) for r in ordered]
+    assert keys == sorted(keys)
+    share = {r.risk_level: r.drug_count for r in serve.risk_level_share(risks).collect()}
+    assert sum(share.values()) == risks.count()
+
+
+def test_lists(table):
+    assert [r.state for r in serve.distinct_states(table).collect()] == ["CA", "TX"]
+    assert serve.state_drugs(table, "CA").count() == 3
+    assert [r[0] for r in serve.state_products(table, "CA").collect()] == [None, "A", "B"]
+
+
+def test_trend_tiles_and_comparison(table):
+    tiles = {r.product_name_fda10: r for r in serve.series_tiles(product_trends(table), PRODUCT_SERIES).collect() if r.state == "CA"}
+    assert tiles["B"].qoq_spend_change == 9.0
+    means = serve.state_comparison(table).collect()
+    assert [(r.state, r.total_spend) for r in means] == [("CA", 29.0)]
+
+
+def test_state_trend_counts_drugs_once(risks):
+    rows = {(r.state, r.quarter_start): r.unique_drugs for r in serve.state_spend_trend(risks).collect()}
+    assert rows[("CA", quarter(2))] == 2
