@@ -1,8 +1,7 @@
 """Four-quarter forecasts for all chosen series in one plan.
 
-The built-in model is a linear trend times a seasonal index with a normal 80% band. It is
-not the solver the surveyed dashboard used, so its numbers differ; ``forecast_with`` takes any
-per-series model instead.
+The built-in model is a linear trend times a seasonal index with a normal 80% band. Other
+solvers give other numbers; ``forecast_with`` takes any per-series model instead.
 """
 
 from __future__ import annotations

@@ -28,9 +28,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _located(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path in its terms."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _located(spark, path)
+    return files.exists(target)
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -47,11 +53,14 @@ def checkpoint_table(df: DataFrame, label: str = "stage") -> DataFrame:
     """Compute ``df`` once into the shared folder and go on from the files.
 
     This cuts the lineage, survives lost executors, and gives the planner the true size:
-    a small summary is broadcast in later joins and a large one is not.
+    a small summary is broadcast in later joins and a large one is not. The files go away
+    with the application.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, target = _located(spark, path)
+    files.deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

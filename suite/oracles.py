@@ -538,6 +538,7 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         "risks",
     ),
     "pipeline_risks": select(_RISKS, RISKS_SHOWN, "risks"),
+    "pipeline_from_csv": select(_RISKS, RISKS_SHOWN, "risks"),
     "high_cost_exact": select(
         _DASHBOARD, [*KEYS, "total_spend", shown("spend_cut", 4), "high_cost"], "demo"
     ),
@@ -555,6 +556,9 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         "risks",
         "WHERE state = '05' AND ndc11_normalized = '00000000013' ORDER BY quarter_start",
     ),
+    "history_by_product": select(
+        _TRENDS, TRENDS_SHOWN, "trends", "WHERE state = '05' AND product_name_fda10 = 'Brand#13'"
+    ),
     "top_spend_latest": select(
         _RISKS, TOP_SPEND, "risks",
         f"{PER_STATE_LATEST} ORDER BY total_spend DESC, {TIES} LIMIT 10",
@@ -568,6 +572,11 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         f"{PER_STATE_LATEST} AND qoq_spend_change IS NOT NULL"
         f" ORDER BY risks.qoq_spend_change DESC, {TIES} LIMIT 10",
     ),
+    "top_risers_latest_state": select(
+        _RISKS, RISERS, "risks",
+        f"{PER_STATE_LATEST} AND state = '05' AND qoq_spend_change IS NOT NULL"
+        f" ORDER BY risks.qoq_spend_change DESC, {TIES} LIMIT 10",
+    ),
     "latest_quarter_global": select(_AGG, AGG_SHOWN, "agg", NEWEST.format("agg")),
     "top_spend_latest_global": select(
         _AGG, AGG_SHOWN, "agg",
@@ -578,6 +587,7 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         f"{NEWEST.format('trends')} ORDER BY trends.qoq_spend_change DESC NULLS LAST, {TIES} LIMIT 10",
     ),
     "watchlist": select(_RISKS, RISERS, "risks", f"{WATCHED} {WATCH_ORDER}"),
+    "watchlist_state": select(_RISKS, RISERS, "risks", f"{WATCHED} AND state = '05' {WATCH_ORDER}"),
     "watchlist_latest": select(
         _DASHBOARD,
         ["state", "product_name_fda10", "total_spend", "risk_level", "risk_score",
@@ -614,6 +624,13 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
          shown_as("avg(risk_score)", "avg_risk_score", 6)],
         "risks", "GROUP BY state, quarter_start ORDER BY state, quarter_start",
     ),
+    "state_spend_trend_state": select(
+        _RISKS,
+        ["state", "quarter_start", shown_as("sum(total_spend)", "state_total_spend", 2),
+         "count(DISTINCT ndc11_normalized) AS unique_drugs",
+         shown_as("avg(risk_score)", "avg_risk_score", 6)],
+        "risks", "WHERE state = '05' GROUP BY state, quarter_start ORDER BY quarter_start",
+    ),
     "state_comparison": select(
         _AGG, ["state", shown_as("avg(total_spend)", "total_spend", 4)], "agg",
         f"{NEWEST.format('agg')} GROUP BY state ORDER BY avg(agg.total_spend) DESC, state LIMIT 10",
@@ -631,6 +648,7 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     "state_drugs": select(
         _AGG, "DISTINCT ndc11_normalized, product_name_fda10", "agg", "WHERE state = '05'"
     ),
+    "state_products": select(_AGG, "DISTINCT product_name_fda10", "agg", "WHERE state = '05'"),
     "forecast_universe": select(_UNIVERSE, AGG_SHOWN, "universe"),
     "forecast_input": select(
         _UNIVERSE, AGG_SHOWN, "agg SEMI JOIN universe USING (state, ndc11_normalized)"

@@ -20,7 +20,7 @@ from claimtrends.plans import (
     aggregates_from_claims,
     product_features,
     quality_checked,
-    risks_from_features,
+    run,
     series_features,
     stages_from_claims,
 )
@@ -49,6 +49,7 @@ MILLS = 3
 STATE = "05"
 STATES = ("03", "05", "11")
 DRUG = "00000000013"
+PRODUCT = "Brand#13"
 TOP_K = 10
 METRIC = "spend"
 
@@ -85,16 +86,24 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+def _planned(spark: SparkSession, folder: str) -> DataFrame:
+    """Aggregates for a query that reads them once: filters and columns reach the tables."""
+    return aggregate.quarterly_aggregates(quality_checked(source.claims(spark, folder)), CENTS)
+
+
 def _aggregates(spark: SparkSession, folder: str) -> DataFrame:
+    """Aggregates for a query that reads them more than once: computed once and stored."""
     return aggregates_from_claims(source.claims(spark, folder), CENTS)
 
 
-def _stages(spark: SparkSession, folder: str) -> Stages:
-    return stages_from_claims(source.claims(spark, folder), CENTS)
+def _stages(spark: SparkSession, folder: str, state: str | None = None) -> Stages:
+    """All stages. Series and peers lie within a state, so one state can be cut out first."""
+    rows = serve.one_state(source.claims(spark, folder), state)
+    return stages_from_claims(rows, CENTS)
 
 
-def _risks(spark: SparkSession, folder: str) -> DataFrame:
-    return _stages(spark, folder).risks
+def _risks(spark: SparkSession, folder: str, state: str | None = None) -> DataFrame:
+    return _stages(spark, folder, state).risks
 
 
 def _per_series(spark: SparkSession, folder: str, transform, spec=DRUG_SERIES) -> DataFrame:
@@ -310,7 +319,7 @@ def trend_features_query(spark, folder):
 
 @query("latest_per_series")
 def latest_per_series_query(spark, folder):
-    return shown(serve.latest_per_series(_aggregates(spark, folder)))
+    return shown(serve.latest_per_series(_planned(spark, folder)))
 
 
 @query("qoq_change_by_product")
@@ -390,6 +399,14 @@ def pipeline_risks_query(spark, folder):
     return shown(_risks(spark, folder))
 
 
+@query("pipeline_from_csv")
+def pipeline_from_csv_query(spark, folder):
+    """The whole path: CSV extract in, three stored tables and their views out."""
+    path = _new_path(spark, "pipeline")
+    export_csv(source.raw_claims(spark, folder), f"{path}/raw")
+    return shown(run(spark, f"{path}/raw", f"{path}/processed", CENTS).risks)
+
+
 @query("high_cost_exact")
 def high_cost_exact_query(spark, folder):
     rows = risk.high_cost_exact(_dashboard(spark, folder))
@@ -406,24 +423,30 @@ def demo_risk_query(spark, folder):
 
 @query("filter_states")
 def filter_states_query(spark, folder):
-    return shown(serve.filter_states(_aggregates(spark, folder), STATES))
+    return shown(serve.filter_states(_planned(spark, folder), STATES))
 
 
 @query("filter_quarter_range")
 def filter_quarter_range_query(spark, folder):
-    rows = _aggregates(spark, folder)
+    rows = _planned(spark, folder)
     return shown(serve.filter_quarter_range(rows, date(1997, 1, 1), date(1999, 12, 31)))
 
 
 @query("history_by_series")
 def history_by_series_query(spark, folder):
-    return shown(serve.history_by_series(_risks(spark, folder), STATE, DRUG))
+    return shown(serve.history_by_series(_risks(spark, folder, STATE), STATE, DRUG))
 
 
 def _latest(df: DataFrame) -> DataFrame:
     return checkpoint_table(serve.latest_quarters(df), "latest-quarters")
 
 
+@query("history_by_product")
+def history_by_product_query(spark, folder):
+    trends = product_features(_aggregates(spark, folder))
+    return shown(serve.history_by_product(trends, STATE, PRODUCT))
+
+
 @query("top_spend_latest")
 def top_spend_latest_query(spark, folder):
     stages = _stages(spark, folder)
@@ -432,7 +455,7 @@ def top_spend_latest_query(spark, folder):
 
 @query("top_spend_latest_state")
 def top_spend_latest_state_query(spark, folder):
-    stages = _stages(spark, folder)
+    stages = _stages(spark, folder, STATE)
     return shown(serve.top_spend_latest(stages.risks, STATE, latest=_latest(stages.aggregates)))
 
 
@@ -442,6 +465,12 @@ def top_risers_latest_query(spark, folder):
     return shown(serve.top_risers_latest(stages.risks, latest=_latest(stages.aggregates)))
 
 
+@query("top_risers_latest_state")
+def top_risers_latest_state_query(spark, folder):
+    stages = _stages(spark, folder, STATE)
+    return shown(serve.top_risers_latest(stages.risks, STATE, latest=_latest(stages.aggregates)))
+
+
 @query("latest_quarter_global")
 def latest_quarter_global_query(spark, folder):
     return shown(serve.latest_quarter_global(_aggregates(spark, folder)))
@@ -462,6 +491,11 @@ def watchlist_query(spark, folder):
     return shown(serve.watchlist(_risks(spark, folder)))
 
 
+@query("watchlist_state")
+def watchlist_state_query(spark, folder):
+    return shown(serve.watchlist(_risks(spark, folder, STATE), STATE))
+
+
 @query("watchlist_latest")
 def watchlist_latest_query(spark, folder):
     rows = risk.dashboard_risks(_dashboard(spark, folder))
@@ -476,7 +510,7 @@ def combined_join_query(spark, folder):
 
 @query("kpi_summary")
 def kpi_summary_query(spark, folder):
-    return shown(serve.kpi_summary(_aggregates(spark, folder)), total_spend=2)
+    return shown(serve.kpi_summary(_planned(spark, folder)), total_spend=2)
 
 
 @query("risk_summary")
@@ -504,6 +538,11 @@ def state_spend_trend_query(spark, folder):
     return shown(serve.state_spend_trend(_risks(spark, folder)))
 
 
+@query("state_spend_trend_state")
+def state_spend_trend_state_query(spark, folder):
+    return shown(serve.state_spend_trend(_risks(spark, folder, STATE), STATE))
+
+
 @query("state_comparison")
 def state_comparison_query(spark, folder):
     return shown(serve.state_comparison(_aggregates(spark, folder), "total_spend"), total_spend=4)
@@ -511,17 +550,22 @@ def state_comparison_query(spark, folder):
 
 @query("universe_summary")
 def universe_summary_query(spark, folder):
-    return shown(serve.universe_summary(_aggregates(spark, folder)))
+    return shown(serve.universe_summary(_planned(spark, folder)))
 
 
 @query("distinct_states")
 def distinct_states_query(spark, folder):
-    return serve.distinct_states(_aggregates(spark, folder))
+    return serve.distinct_states(_planned(spark, folder))
 
 
 @query("state_drugs")
 def state_drugs_query(spark, folder):
-    return serve.state_drugs(_aggregates(spark, folder), STATE)
+    return serve.state_drugs(_planned(spark, folder), STATE)
+
+
+@query("state_products")
+def state_products_query(spark, folder):
+    return serve.state_products(_planned(spark, folder), STATE)
 
 
 # Forecasts
@@ -570,7 +614,7 @@ def forecast_batch_query(spark, folder):
 
 @query("forecast_dates")
 def forecast_dates_query(spark, folder):
-    return forecast.forecast_dates(_aggregates(spark, folder))
+    return forecast.forecast_dates(_planned(spark, folder))
 
 
 @query("forecast_grouped_map")
