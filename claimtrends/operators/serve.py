@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..columns import DRUG_SERIES, SeriesSpec
@@ -34,6 +34,7 @@ WATCHLIST_COLUMNS = (
     "qoq_spend_change",
 )
 WATCHED_LEVELS = ("high", "medium")
+SALTS = 64
 
 
 # Filters
@@ -72,10 +73,15 @@ def latest_quarter_global(df: DataFrame) -> DataFrame:
     return df.where(F.col("quarter_start") == newest)
 
 
+def first_rows(df: DataFrame, window: WindowSpec, k: int) -> DataFrame:
+    """The first k rows of each group. Each task keeps k per group before the shuffle."""
+    place = F.row_number().over(window)
+    return df.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+
+
 def latest_per_series(df: DataFrame, spec: SeriesSpec = DRUG_SERIES) -> DataFrame:
-    """The latest row of each series. Each task drops older rows before the shuffle."""
-    place = F.row_number().over(spec.latest_first())
-    return df.withColumn("__place", place).where(F.col("__place") == 1).drop("__place")
+    """The latest row of each series."""
+    return first_rows(df, spec.latest_first(), 1)
 
 
 # Top lists
@@ -274,7 +280,14 @@ def state_products(df: DataFrame, state: str) -> DataFrame:
 
 
 def top_per_state(df: DataFrame, value: str, k: int) -> DataFrame:
-    """The k largest rows of each state. Each task keeps k per state before the shuffle."""
+    """The k largest rows of each state.
+
+    Spark cuts ranks before the shuffle only up to a limit on k; beyond it the rows of a
+    state are first ranked in salted parts, so that a large state is never one task.
+    """
     order = [F.col(value).desc(), *[F.col(c).asc() for c in KEYS[1:]]]
-    place = F.row_number().over(Window.partitionBy("state").orderBy(*order))
-    return df.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*KEYS[1:]), F.lit(SALTS)))
+        parts = Window.partitionBy("state", "__salt").orderBy(*order)
+        df = first_rows(salted, parts, k).drop("__salt")
+    return first_rows(df, Window.partitionBy("state").orderBy(*order), k)

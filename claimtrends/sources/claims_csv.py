@@ -41,7 +41,10 @@ def _scans(spark: SparkSession, folder: str, uniform: bool) -> list[DataFrame]:
         with ThreadPoolExecutor(HEADER_READERS) as pool:
             headers = pool.map(lambda path: _header(spark, path), paths)
             for path, header in zip(paths, headers):
-                groups.setdefault(header, []).append(path)
+                if header:  # an empty file has none
+                    groups.setdefault(header, []).append(path)
+    if not any(groups):
+        raise FileNotFoundError(f"no CSV headers in {folder}")
     scans = []
     for header, members in groups.items():
         schema = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in header)

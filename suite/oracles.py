@@ -166,10 +166,8 @@ def _direction(m: str) -> str:
     )
 
 
-def _lags(suffix: str = "") -> list[str]:
-    return [
-        f"lag(total_{m}, {k}) OVER ser AS {m}_lag_{k}q" for k in (1, 2, 4) for m in MEASURES
-    ]
+def _lags() -> list[str]:
+    return [f"lag(total_{m}, {k}) OVER ser AS {m}_lag_{k}q" for k in (1, 2, 4) for m in MEASURES]
 
 
 _FEATURES = _AGG + f""",
@@ -425,7 +423,7 @@ DEMO_SHOWN = [*TRENDS_SHOWN, "high_cost", "high_vol", "fast_riser", "risk_level"
 WATCHED = "WHERE risk_level IN ('high', 'medium')"
 WATCH_ORDER = f"ORDER BY risk_score DESC, total_spend DESC, {TIES} LIMIT 20"
 
-# A double as text that reads back as the same double; whole numbers keep one decimal.
+# Claims as CSV text, under the raw headers.
 RAW_SHOWN = ", ".join([
     'record_type AS "Utilization Type"', 'state AS "State"', 'ndc11 AS "NDC"',
     'CAST(year AS VARCHAR) AS "Year"', 'CAST(quarter AS VARCHAR) AS "Quarter"',

@@ -130,3 +130,17 @@ def test_trend_tiles_and_comparison(table):
 def test_state_trend_counts_drugs_once(risks):
     rows = {(r.state, r.quarter_start): r.unique_drugs for r in serve.state_spend_trend(risks).collect()}
     assert rows[("CA", quarter(2))] == 2
+
+
+def test_a_large_k_is_ranked_in_salted_parts(spark, aggregates):
+    rows = [("CA", f"{n:03d}", "A", 0, float(n % 50)) for n in range(300)]
+    table = aggregates(rows)
+    plain = sorted(serve.top_per_state(table, "total_spend", 120).collect())
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+        salted = serve.top_per_state(table, "total_spend", 120)
+        assert "__salt" in salted._jdf.queryExecution().executedPlan().toString()
+        assert sorted(salted.collect()) == plain
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)

@@ -74,6 +74,16 @@ def test_missing_and_empty_folders(spark, tmp_path):
         read_raw_csvs(spark, str(tmp_path / "empty"))
 
 
+def test_empty_files_are_skipped(spark, tmp_path):
+    folder = write(tmp_path / "raw", a=["State", "CA"])
+    (tmp_path / "raw" / "empty.csv").write_text("")
+    assert read_raw_csvs(spark, folder).collect() == [("CA",)]
+    (tmp_path / "blank").mkdir()
+    (tmp_path / "blank" / "empty.csv").write_text("")
+    with pytest.raises(FileNotFoundError):
+        read_raw_csvs(spark, str(tmp_path / "blank"))
+
+
 def test_export_has_a_header(spark, tmp_path):
     path = str(tmp_path / "out")
     export_csv(spark.createDataFrame([("CA", 'a "b", c')], "state string, name string"), path)
