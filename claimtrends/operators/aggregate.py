@@ -21,7 +21,7 @@ def _total(source: str, decimals: int | None) -> Column:
     if decimals is None or source == "prescriptions":
         return F.sum(source)
     scale = float(10**decimals)
-    return F.sum(F.round(F.col(source) * scale).cast("bigint")) / scale
+    return F.sum(F.rint(F.col(source) * scale).cast("bigint")) / scale
 
 
 def quarterly_totals(df: DataFrame, decimals: int | None = None) -> DataFrame:

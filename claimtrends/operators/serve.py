@@ -54,8 +54,9 @@ def one_state(df: DataFrame, state: str | None) -> DataFrame:
 
 
 def latest_quarters(df: DataFrame) -> DataFrame:
-    """Latest quarter of each state, one row per state."""
-    return df.groupBy("state").agg(F.max("quarter_start").alias("latest_quarter"))
+    """Latest quarter of each known state, one row per state."""
+    known = df.where(F.col("state").isNotNull())
+    return known.groupBy("state").agg(F.max("quarter_start").alias("latest_quarter"))
 
 
 def latest_quarter_per_state(df: DataFrame, latest: DataFrame | None = None) -> DataFrame:

@@ -42,7 +42,7 @@ def _line_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _whole(value: Column) -> Column:
     """A number with two decimals as a whole number of hundredths."""
-    return F.round(value * 100).cast("bigint")
+    return F.rint(value * 100).cast("bigint")
 
 
 def _amounts() -> dict[str, Column]:

@@ -34,6 +34,11 @@ def test_latest_quarter_is_per_state(risks):
     assert serve.top_spend_latest(risks, latest=stored).collect() == rows
 
 
+def test_rows_without_a_state_have_no_latest_quarter(aggregates):
+    rows = aggregates([(None, "1", "A", 0, 1.0), ("CA", "1", "A", 0, 1.0)])
+    assert [r.state for r in serve.latest_quarter_per_state(rows).collect()] == ["CA"]
+
+
 def test_latest_quarter_global_leaves_states_out(table):
     assert {r.state for r in serve.latest_quarter_global(table).collect()} == {"CA"}
 
