@@ -176,23 +176,19 @@ def _guarded(model: Model, horizon: int) -> Callable[[tuple, pd.DataFrame], pd.D
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points = group.sort_values("ds", ignore_index=True)
+        steps, values, error = [None], [[None]] * 3, None
         try:
             if points["rows"].sum() < MIN_POINTS:
                 raise ValueError(TOO_SHORT)
             result = model(points[["ds", "y"]], horizon)
-            out = pd.DataFrame({
-                "forecast_period": range(1, len(result) + 1),
-                "forecast_value": result["yhat"].astype("float64").to_numpy(),
-                "forecast_lower": result["yhat_lower"].astype("float64").to_numpy(),
-                "forecast_upper": result["yhat_upper"].astype("float64").to_numpy(),
-                "error": None,
-            })
-        except Exception as error:  # noqa: BLE001 - any failure belongs to its series
-            out = pd.DataFrame({"error": [str(error)]})
-        out["last"] = points["ds"].iloc[-1]
-        for name, value in zip(SERIES, key):
-            out[name] = value
-        return out.reindex(columns=_MODEL_SCHEMA.names)
+            values = [result[c].to_list() for c in ("yhat", "yhat_lower", "yhat_upper")]
+            steps = list(range(1, len(result) + 1))
+        except Exception as failure:  # noqa: BLE001 - any failure belongs to its series
+            error = str(failure)
+        last = points["ds"].iloc[-1]
+        columns = [[fixed] * len(steps) for fixed in (*key, last)]
+        columns += [steps, *values, [error] * len(steps)]
+        return pd.DataFrame(dict(zip(_MODEL_SCHEMA.names, columns)))
 
     return run
 
