@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,27 +85,47 @@ def validate_ranges(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.withColumns({**flags, **measures})
 
 
-def cleanse(df: DataFrame) -> DataFrame:
-    """Drop flagged rows and rows without state, drug code or quarter."""
+def _clean(df: DataFrame) -> list[Column]:
+    """What a clean row fulfils, one condition per column, as far as the table has it.
+
+    The code flag covers a null code, so the code is not derived once more for it.
+    """
     flags = [c for c in ("invalid_quarter", "invalid_state", "invalid_ndc") if c in df.columns]
-    for name in flags:
-        df = df.where(~F.col(name))
-    # One condition per column, so that each can be pushed to its own side of a join. The
-    # code flag covers a null code, so the code is not derived once more for it.
     needed = ["state", "quarter_start"]
     if "invalid_ndc" not in flags:
         needed.append("ndc11_normalized")
-    for name in needed:
-        df = df.where(F.col(name).isNotNull())
-    return nonnegative_measures(df)
+    return [
+        *[~F.col(name) for name in flags],
+        *[F.col(name).isNotNull() for name in needed],
+        *_nonnegative(df),
+    ]
+
+
+def _nonnegative(df: DataFrame) -> list[Column]:
+    totals = ("total_units", "total_scripts", "total_spend")
+    return [flag(F.col(name) >= 0) for name in totals if name in df.columns]
+
+
+def _where_all(df: DataFrame, conditions: list[Column]) -> DataFrame:
+    # Separate conditions can each be pushed to their own side of a join.
+    return reduce(DataFrame.where, conditions, df)
+
+
+def cleanse(df: DataFrame) -> DataFrame:
+    """Drop flagged rows and rows without state, drug code or quarter."""
+    return _where_all(df, _clean(df))
 
 
 def nonnegative_measures(df: DataFrame) -> DataFrame:
     """Keep rows whose totals, as far as the table has them, are known and not negative."""
-    for name in ("total_units", "total_scripts", "total_spend"):
-        if name in df.columns:
-            df = df.where(F.col(name) >= 0)
-    return df
+    return _where_all(df, _nonnegative(df))
+
+
+def cleansing_counts(df: DataFrame) -> DataFrame:
+    """Number of rows before and after cleansing, from one pass, one row per stage."""
+    kept = reduce(lambda a, b: a & b, _clean(df))
+    counts = df.agg(F.count(F.lit(1)).alias("raw"), F.count_if(kept).alias("cleansed"))
+    return counts.unpivot([], ["raw", "cleansed"], "stage", "row_count")
 
 
 def time_dimensions(df: DataFrame) -> DataFrame:

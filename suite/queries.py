@@ -200,10 +200,11 @@ def combined_view_query(spark, folder):
 
 @query("stage_counts")
 def stage_counts_query(spark, folder):
-    raw = source.messy_claims(spark, folder)
-    checked = quality_checked(canonical.apply_schema(raw, canonical.detect_columns(raw.columns)))
-    totals = aggregate.quarterly_totals(checked, MILLS)
-    return stage_counts({"raw": raw, "cleansed": checked, "aggregates": totals})
+    """Two passes over the claims: one that counts them, one that stores the aggregates."""
+    checked = canonical.validate_ranges(_canonical(spark, folder))
+    totals = aggregate.quarterly_totals(canonical.cleanse(checked), MILLS)
+    stored = checkpoint_table(totals, "aggregates")
+    return canonical.cleansing_counts(checked).unionByName(stage_counts({"aggregates": stored}))
 
 
 # Projections
@@ -602,7 +603,7 @@ def series_frame_query(spark, folder):
 def forecast_seasonal_trend_query(spark, folder):
     """Every series of the table, not only the largest."""
     aggregates = _aggregates(spark, folder)
-    everything = serve.latest_per_series(aggregates)
+    everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
     frame = forecast.series_frame(aggregates, everything, "units")
     return shown(forecast.forecast_seasonal_trend(frame, everything, "units"))
 

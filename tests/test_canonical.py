@@ -121,6 +121,8 @@ def test_cleanse_drops_flagged_and_incomplete_rows(build):
         claim(Year="x"), claim(**{"State Code": None}), claim(Qtr=None),
     )
     assert canonical.cleanse(canonical.validate_ranges(rows)).count() == 1
+    counts = canonical.cleansing_counts(canonical.validate_ranges(rows)).collect()
+    assert {(r.stage, r.row_count) for r in counts} == {("raw", 7), ("cleansed", 1)}
     # Without flags only the required columns count: the bad quarter has no start.
     assert canonical.cleanse(rows).count() == 2
 
