@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, maxscore, ring, simhash, warc
 from .common import prepare
 
 
+#: Shards of op10.
+SHARDS = 24
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
@@ -19,8 +24,80 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
+def op8_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = maxscore.quantised(_table(spark, folder, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_table(spark, folder, "pages"))
+
+
+def op10_ring(spark: SparkSession, folder: str) -> DataFrame:
+    return ring.shard(_table(spark, folder, "documents"), SHARDS).withColumns(
+        {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_maxscore": op8_maxscore,
+    "op9_warc": op9_warc,
+    "op10_ring": op10_ring,
 }
 
-ORACLES: dict[str, str] = {}
+_CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all(" + _CAPITALS.format("text") + r", '[0-9a-z\x{80}-\x{10FFFF}]+')"
+_SHINGLES = "list_distinct(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' ')))"
+
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": f"""
+        WITH item_words AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+        items AS (SELECT row_number() OVER () AS item_row, item_id, ws, least(5, len(ws)) AS k
+                  FROM item_words WHERE len(ws) > 0),
+        item_grams AS (SELECT item_row, item_id, k, {_SHINGLES} AS grams FROM items),
+        item_gram AS (SELECT item_row, item_id, k, len(grams) AS shingles, unnest(grams) AS gram
+                      FROM item_grams),
+        docs AS (SELECT row_number() OVER () AS doc_row, doc_id, {_WORDS} AS ws FROM documents),
+        doc_gram AS (SELECT doc_row, doc_id, k, unnest({_SHINGLES}) AS gram
+                     FROM docs, (SELECT DISTINCT k FROM items) WHERE len(ws) >= k),
+        hits AS (SELECT doc_row, doc_id, item_row, item_id, shingles, count(*) AS shared
+                 FROM doc_gram JOIN item_gram USING (k, gram) GROUP BY ALL)
+        SELECT doc_id, item_id, shared::INTEGER AS shared, shingles::INTEGER AS shingles,
+               shared / shingles AS containment
+        FROM hits WHERE shared >= ceil(0.8 * shingles - 1e-9)
+    """,
+    "op8_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a
+            JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+        ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+                   ::INTEGER AS rank, vec_id, score
+            FROM scored)
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n
+            FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
+               CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END
+                   AS record_type,
+               CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM f
+    """,
+}

@@ -1,0 +1,63 @@
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimtrends.llm import ring
+
+DOCS = "doc_id long, text string, shard string"
+
+
+def by_shard(rows):
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.shard, []).append(r.slot)
+    return slots
+
+
+@pytest.mark.parametrize("n", [0, 1, 23, 24, 1000, 5003])
+def test_counts_are_at_most_one_apart_and_slots_gapless(llm, n):
+    docs = llm.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(5)
+    slots = by_shard(ring.shard(docs, 24).collect())
+    sizes = [len(slots.get(s, [])) for s in range(24)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_a_hot_id_nulls_and_repeats(llm):
+    rows = [(7, "same", "a")] * 400 + [(None, None, None)] * 300 + [(i, "é" * i, "b") for i in range(300)]
+    out = ring.shard(llm.createDataFrame(rows, DOCS).repartition(6), 24).collect()
+    slots = by_shard(out)
+    assert {len(v) for v in slots.values()} <= {1000 // 24, 1000 // 24 + 1}
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
+
+
+def test_bounded_loads_move_few_keys(llm):
+    docs = llm.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    where = [{r.doc_id: r.shard for r in ring.shard(docs, n, slack=slack).collect()}
+             for n, slack in ((24, 0.25), (25, 0.25), (24, 0.0), (25, 0.0))]
+    moved = [sum(a[k] != b[k] for k in a) / len(a) for a, b in zip(where[::2], where[1::2], strict=True)]
+    assert moved[0] < 0.10 and moved[1] < 0.35
+    assert max(Counter(where[0].values()).values()) <= -(-20_000 * 1.25 // 24)
+
+
+def test_only_full_shards_overflow():
+    nodes = ring.nodes(5, 16)
+    counts = {arc: 10 + arc % 7 for arc in range(len(nodes))}
+    total = sum(counts.values())
+    pieces = ring.place(counts, nodes, ring.capacities(total, 5))
+    covered, load = {}, Counter()
+    for arc, start, end, shard, base in pieces:
+        assert base == load[shard] and end > start
+        load[shard] += end - start
+        covered.setdefault(arc, []).append((start, end))
+    for arc, spans in covered.items():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] == counts[arc]
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    full = ring.capacities(total, 5)
+    away = {nodes[arc][1] for arc, _, _, shard, _ in pieces if shard != nodes[arc][1]}
+    assert all(load[s] == full[s] for s in away)
