@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, maxscore, ring, simhash, warc
+from . import crf, decontaminate, maxscore, quality, ring, simhash, warc
 from .common import prepare
 
 
@@ -24,6 +24,28 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").where(_remainder(5) != 0)
+    weights = quality.fit(docs, labels.select("doc_id", F.col("quality").cast("int").alias("label")))
+    return quality.scored(docs, weights).select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = crf.fit(docs.where(_remainder(4) != 2))
+    return crf.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -47,6 +69,8 @@ def op10_ring(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
@@ -55,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _CAPITALS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _CAPITALS.format("text") + r", '[0-9a-z\x{80}-\x{10FFFF}]+')"
-_SHINGLES = "list_distinct(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' ')))"
+_SHINGLES = "list_distinct(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')))"
 
 ORACLES: dict[str, str] = {
     "op5_decontaminate": f"""
@@ -76,9 +100,9 @@ ORACLES: dict[str, str] = {
     """,
     "op8_maxscore": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
             SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
             FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a

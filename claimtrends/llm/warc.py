@@ -116,7 +116,7 @@ class _Reader:
             if self.unpack.eof:
                 self.unpack = zlib.decompressobj(31)
             source = self.packed[self.at: self.at + self.piece]
-            self.at += self.piece
+            self.at += len(source)
         self.held += self.unpack.decompress(source, self.piece)
         if self.unpack.eof:
             self.at -= len(self.unpack.unused_data)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 #: ASCII capitals to small letters; other bytes stay.
@@ -26,19 +24,27 @@ WORD = byte_table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWX
 LETTER = WORD & ~byte_table(b"0123456789")
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        powers = np.ones(size + 1, np.uint64)
-        np.multiply.accumulate(np.full(size, base, np.uint64), out=powers[1:])
-        out.append(powers)
-    return out[0], out[1]
+class _Powers:
+    """Powers of the hash base and of its inverse, as far as asked for; travels empty."""
+
+    def __init__(self) -> None:
+        self.held = (np.ones(1, np.uint64),) * 2
+
+    def __reduce__(self) -> tuple:
+        return _Powers, ()
+
+    def __call__(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) <= size:
+            count, out = 1 << max(16, int(size).bit_length()), []
+            for base in (_BASE, pow(_BASE, -1, 2**64)):
+                table = np.ones(count + 1, np.uint64)
+                np.multiply.accumulate(np.full(count, base, np.uint64), out=table[1:])
+                out.append(table)
+            self.held = out[0], out[1]
+        return self.held
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, for at least ``size`` bytes."""
-    return _powers(1 << max(16, int(size).bit_length()))
+powers = _Powers()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
