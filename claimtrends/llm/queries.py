@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontaminate, maxscore, quality, ring, simhash, warc
+from . import crf, decontaminate, maxscore, pieces, quality, ring, secrets, simhash, warc
 from .common import prepare
 
 
-#: Shards of op10.
-SHARDS = 24
+#: Shards of op10; a public tokenizer's model, read on the driver.
+SHARDS, TOKENIZER = 24, "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +52,16 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return secrets.find(docs, secrets.fit(docs))
+
+
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.encoded(docs, pieces.load(TOKENIZER))
+
+
 def op8_maxscore(spark: SparkSession, folder: str) -> DataFrame:
     vectors = maxscore.quantised(_table(spark, folder, "embeddings"))
     return maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secrets": op6_secrets,
+    "op7_pieces": op7_pieces,
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_ring": op10_ring,
