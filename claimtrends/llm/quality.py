@@ -21,7 +21,7 @@ from .words import WORD, byte_table, grams, prefix_hash, runs, span_hash
 #: Buckets for hashed n-grams, the longest n-gram, and buckets for shares of repeated n-grams.
 BUCKETS, ORDER, TIMES = 1 << 18, 2, 8
 #: Labelled texts learned from at most, and texts of a learner; learners' weights are averaged.
-SAMPLE, PER_LEARNER = 16_000, 4_000
+SAMPLE, PER_LEARNER = 16_000, 2_000
 #: FTRL: learning rate, its offset, penalties, and passes over a learner's texts.
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 0.001, 0.0, 5
 
@@ -70,6 +70,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
     return Features(np.searchsorted(row[order], np.arange(n + 1)), column[order], value[order])
 
 
+def _in_steps(data: np.ndarray, offsets: np.ndarray) -> Features:
+    """``features`` a step of texts at a time, kept in small types."""
+    starts, columns, values, base = [np.zeros(1, np.int64)], [], [], 0
+    for part in steps(np.diff(offsets)):
+        own = offsets[part.start: part.stop + 1]
+        rows = features(data[own[0]: own[-1]], own - own[0])
+        starts.append(rows.start[1:] + base)
+        columns.append(rows.columns.astype(np.int32))
+        values.append(rows.values.astype(np.float32))
+        base += len(rows.columns)
+    return Features(*(np.concatenate(x) for x in (starts, columns, values)))
+
+
 def learn(rows: Features, labels: np.ndarray, passes: int = PASSES, seed: int = 3) -> np.ndarray:
     """Weights after FTRL-proximal updates, text by text in a fixed shuffled order."""
     size = _FIRST + BUCKETS
@@ -119,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "label", "text"], kind="stable")
         data, offsets = utf8(pa.array(rows["text"].tolist(), pa.large_string()))
-        w = learn(features(data, offsets), rows["label"].to_numpy(float))
+        w = learn(_in_steps(data, offsets), rows["label"].to_numpy(float))
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at, "w": w[at]})
 
