@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontaminate, maxscore, pieces, quality, ring, secrets, simhash, warc
+from . import crf, decontaminate, maxscore, pieces, quality, repeats, ring, secrets, simhash, warc
 from .common import prepare
 
 
@@ -38,6 +38,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(_table(spark, folder, "documents"))
+
+
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = crf.fit(docs.where(_remainder(4) != 2))
@@ -80,6 +84,7 @@ def op10_ring(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_repeats": op3_repeats,
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
