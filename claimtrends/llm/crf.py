@@ -293,16 +293,18 @@ def _spans(labels: list[str], best: np.ndarray) -> list[dict]:
     ]
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bool = False) -> DataFrame:
-    """The columns of ``docs`` and lang_pred and score; columns of these names are replaced.
+def identify(
+    docs: DataFrame, model: Model | None, text: str = "text", spans: bool = False,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns of ``docs`` and lang_pred and score; columns of these ``names`` are replaced.
 
     lang_pred is the label with the largest summed posterior over a text's words, score its mean
     posterior. A null text, one without a letter, and every text without a model get ``und`` and 0.
     ``spans`` adds the runs of words, by number from 0, whose likeliest labels agree.
     """
-    docs = docs.drop("lang_pred", "score", *["lang_spans"] * spans)
-    at, held = docs.columns.index(text), docs.columns
-    extra = ["lang_pred", "score", *["lang_spans"] * spans]
+    docs = docs.drop(*names, *["lang_spans"] * spans)
+    at, out_names = docs.columns.index(text), [*docs.columns, *names, *["lang_spans"] * spans]
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -333,10 +335,10 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
                 if spans:
                     found.append(_spans(labels, likeliest[edge[i]: edge[i + 1]]) if there else [])
         new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(found, kind)] * spans]
-        return pa.RecordBatch.from_arrays([*batch.columns, *new], [*held, *extra])
+        return pa.RecordBatch.from_arrays([*batch.columns, *new], out_names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    fields += ["lang_pred string", "score double"]
+    fields += [f"`{names[0]}` string", f"`{names[1]}` double"]
     fields += ["lang_spans array<struct<first:int,last:int,lang:string>>"] * spans
     return by_batch(docs, work, ", ".join(fields))
 
