@@ -3,8 +3,9 @@
 A model gives pieces with scores; the best segmentation maximises their sum. Only boundaries
 within the longest piece of the frontier can still be used, so only those are live; whenever the
 back pointers of all live boundaries run into one boundary, the ids before it are committed and
-forgotten. A word's first sign is a boundary of that kind whenever no piece reaches over it,
-which makes words independent: a word that comes again is looked up.
+forgotten. The space before a word is such a boundary whenever no piece reaches over it, so
+paths always converge there: words are then independent, and each different word of a step of
+text is solved once, all of them side by side in arrays.
 
 The public model is a merge list: its scores are ranks. Here a piece of rank r scores
 -log(r + 2), as frequencies fall with rank; ids are valid for the model and decode to the text
@@ -24,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import by_batch, steps, utf8
-from .words import prefix_hash, span_hash
+from .words import prefix_hash, raw_hash, span_hash
 
 #: Score of a byte piece, which stands for a sign that has no piece, and uncommitted signs at
 #: which convergence is looked for.
 BYTE_SCORE, CHECK = -25.0, 64
-#: Words remembered by a worker.
-REMEMBERED = 150_000
+#: Bytes of a word that is solved side by side with others; longer ones are streamed.
+SHORT = 96
 
 SPACE = "\u2581"  # a space in pieces
 
@@ -146,7 +147,123 @@ def _spans(offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(offsets - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encode(model: Model, data: np.ndarray, offsets: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
+class _Lookup:
+    """Ids and scores of pieces by hash of their bytes; built where it is used, travels empty.
+
+    A slot holds one piece; pieces of a slot that has several are found by bisection.
+    """
+
+    SLOTS = 18
+
+    def __init__(self) -> None:
+        self.model: Model | None = None
+
+    def __reduce__(self) -> tuple:
+        return _Lookup, ()
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def of(self, model: Model) -> _Lookup:
+        if self.model is model:
+            return self
+        self.model = model
+        ids = np.array([i for _, i in model.pieces.values()], np.int64)
+        raw = [model.text[i] for i in ids.tolist()]
+        size = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum(size)
+        h = raw_hash(prefix_hash(data), ends - size, ends)
+        score = np.array([s for s, _ in model.pieces.values()])
+        slot = self._slot(h)
+        self.hash = np.zeros(1 << self.SLOTS, np.uint64)
+        self.piece = np.full(1 << self.SLOTS, -1, np.int64)
+        self.hash[slot], self.piece[slot] = h, np.arange(len(h))
+        self.shared = np.bincount(slot, minlength=1 << self.SLOTS) > 1
+        order = np.argsort(h)
+        self.sorted, self.order = h[order], order
+        self.ids, self.score = ids, score
+        self.longest = int(size.max(initial=1))
+        self.reach = np.zeros(1 << 16, np.int64)
+        first = data[ends - size].astype(np.int64) << 8
+        for low in range(256):  # a piece of one byte fits any second byte
+            one = first[size == 1] | low
+            self.reach[one] = np.maximum(self.reach[one], 1)
+        more = size > 1
+        np.maximum.at(self.reach, first[more] | data[(ends - size)[more] + 1], size[more])
+        return self
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for none."""
+        slot = self._slot(h)
+        out = np.where(self.hash[slot] == h, self.piece[slot], -1)
+        again = np.flatnonzero((out < 0) & self.shared[slot])
+        at = np.minimum(np.searchsorted(self.sorted, h[again]), len(self.sorted) - 1)
+        out[again] = np.where(self.sorted[at] == h[again], self.order[at], -1)
+        return out
+
+
+_lookup = _Lookup()
+
+
+def encode_words(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids of each word) of words that lie end to end in ``data``, solved side by side.
+
+    An edge is a piece between two boundaries of a word. Edges are relaxed by their distance from
+    the word's start, so that one step advances all words, longer pieces first, as ``stream`` does.
+    """
+    table, n = _lookup.of(model), len(data)
+    word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    end_of = offsets[1:][word]
+    prefix, place = prefix_hash(data), np.arange(n)
+    after = np.append(data[1:], 0).astype(np.int64)
+    top = np.minimum(table.reach[data.astype(np.int64) << 8 | after], end_of - place)
+    lead = (data & 0xC0) != 0x80
+    lead[offsets[:-1][np.diff(offsets) > 0]] = True
+    heads = np.flatnonzero(lead)
+    width = np.zeros(n, np.int64)
+    width[heads] = np.diff(np.append(heads, n))
+    alone, live, edges = lead.copy(), heads, []
+    for size in range(1, table.longest + 1):
+        live = live[top[live] >= size]
+        found = table.find(raw_hash(prefix, live, live + size))
+        hit = found >= 0
+        start = live[hit]
+        alone[start[width[start] == size]] = False
+        edges.append((start, np.full(len(start), size), table.ids[found[hit]], table.score[found[hit]]))
+    spelled = np.flatnonzero(alone)
+    edges.append((spelled, width[spelled], np.full(len(spelled), -1), BYTE_SCORE * width[spelled]))
+    start, size, ids, score = (np.concatenate(x) for x in zip(*edges, strict=True))
+    far = start + size - offsets[:-1][word[start]]
+    order = np.lexsort((-size, far))
+    start, size, ids, score, far = start[order], size[order], ids[order], score[order], far[order]
+    best, back = np.full(n + len(offsets), -np.inf), np.full(n + len(offsets), -1)
+    best[offsets[:-1] + np.arange(len(offsets) - 1)] = 0.0
+    source = start + word[start]  # a word of k bytes has k + 1 boundaries
+    cut = np.flatnonzero((np.diff(far) != 0) | (np.diff(size) != 0)) + 1
+    for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(start)).tolist(), strict=True):
+        total, to = best[source[a:b]] + score[a:b], source[a:b] + size[a:b]
+        better = total > best[to]
+        best[to[better]] = total[better]
+        back[to[better]] = np.arange(a, b)[better]
+    taken, at = [], (offsets[1:] + np.arange(len(offsets) - 1))[np.diff(offsets) > 0]
+    while len(at):
+        edge = back[at]
+        taken.append(edge)
+        at = source[edge]
+        at = at[back[at] >= 0]
+    taken = np.concatenate([np.zeros(0, np.int64), *taken])
+    taken = taken[np.argsort(start[taken], kind="stable")]
+    count = np.where(ids[taken] < 0, size[taken], 1)
+    out = np.repeat(ids[taken], count)
+    by_byte = np.flatnonzero(out < 0)
+    if len(by_byte):
+        own = _spans(start[taken], count)
+        out[by_byte] = np.array(model.bytes)[data[own[by_byte]]]
+    return out.astype(np.int32), np.bincount(word[start[taken]], weights=count, minlength=len(offsets) - 1).astype(np.int64)
+
+
+def encode(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts in one byte array; each text is led by a space of its own."""
     n = len(offsets) - 1
     length = np.diff(offsets)
@@ -163,20 +280,27 @@ def encode(model: Model, data: np.ndarray, offsets: np.ndarray, known: dict) ->
     end = np.append(begin[1:], len(led))
     text = np.searchsorted(starts, begin, "right") - 1
     _, first, where = np.unique(span_hash(prefix_hash(led), begin, end), return_index=True, return_inverse=True)
-    raw, ids = led.tobytes(), []
-    for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True):
-        word = raw[a:b]
-        found = known.get(word)
-        if found is None:
-            found = np.array(encode_word(model, word), np.int32)
-            if len(word) <= 4 * CHECK:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = found
-        ids.append(found)
-    count = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int32), *ids])
-    out = flat[_spans((np.cumsum(count) - count)[where], count[where])]
+    begin, end = begin[first], end[first]
+    raw = led.tobytes()
+    odd = (end - begin > SHORT) | (not model.split)
+    sign = np.frombuffer(SPACE.encode(), np.uint8)
+    literal = np.flatnonzero((led[:-2] == sign[0]) & (led[1:-1] == sign[1]) & (led[2:] == sign[2])) if len(led) > 2 else []
+    if len(literal):
+        odd |= np.searchsorted(literal, begin) < np.searchsorted(literal, end)
+    count, plain = np.zeros(len(begin), np.int64), np.flatnonzero(~odd)
+    size = (end - begin)[plain]
+    words = led[_spans(begin[plain], size)]
+    flat, count[plain] = encode_words(model, words, np.concatenate([[0], np.cumsum(size)]))
+    base = np.zeros(len(begin), np.int64)
+    base[plain] = np.cumsum(count[plain]) - count[plain]
+    parts, held = [flat], len(flat)
+    for i in np.flatnonzero(odd).tolist():
+        ids = encode_word(model, raw[begin[i]: end[i]])
+        parts.append(np.array(ids, np.int32))
+        base[i], count[i] = held, len(ids)
+        held += len(ids)
+    flat = np.concatenate(parts)
+    out = flat[_spans(base[where], count[where])]
     total = np.bincount(text, weights=count[where], minlength=n).astype(np.int64)
     return out, np.concatenate([[0], np.cumsum(total)])
 
@@ -204,7 +328,6 @@ def encoded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop("ids", "n_ids", "exact")
     at, rest = docs.columns.index(text), [c for c in docs.columns if c != text]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
-    known: dict[bytes, np.ndarray] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         column, lists, exact = batch.column(at), [], []
@@ -212,7 +335,7 @@ def encoded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for part in steps(np.diff(offsets)):
             own = offsets[part.start: part.stop + 1]
             body, own = data[own[0]: own[-1]], own - own[0]
-            ids, of = encode(model, body, own, known)
+            ids, of = encode(model, body, own)
             back, back_of = decode(model, ids, of)
             lists.append(pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(ids)))
             same = len(back) == len(body) and bool((back == body).all() and (back_of == own).all())

@@ -69,9 +69,14 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return total
 
 
+def raw_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hash`` before mixing: as good for equality, not for its bits."""
+    return (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], the same wherever the bytes stand."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
+    return mix(raw_hash(prefix, starts, ends))
 
 
 def grams(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -64,7 +64,7 @@ def test_window_stays_bounded(monkeypatch):
 def test_exact_round_trip_of_odd_texts(split):
     model = MODEL._replace(split=split)
     data, offsets = utf8(pa.array([*ODD, None], pa.large_string()))
-    ids, of = pieces.encode(model, data, offsets, {})
+    ids, of = pieces.encode(model, data, offsets)
     back, back_of = pieces.decode(model, ids, of)
     assert back.tobytes() == data.tobytes() and (back_of == offsets).all()
     for i, text in enumerate(ODD):
@@ -74,6 +74,20 @@ def test_exact_round_trip_of_odd_texts(split):
             assert value(model, own) == pytest.approx(want), text
 
 
+def test_words_side_by_side_equal_the_stream():
+    rng = random.Random(7)
+    words = ["".join(rng.choices(["th", "er", "é", " ", "日", "x", "ion", "\x00", "😀", "Q"], k=rng.randint(1, 20))) for _ in range(500)]
+    words = [" " * rng.randint(0, 3) + w.replace(" ", "") for w in words]
+    words = [w for w in words if w]
+    data, offsets = utf8(pa.array(words, pa.large_string()))
+    ids, count = pieces.encode_words(MODEL, data, offsets)
+    at = 0
+    for word, n in zip(words, count.tolist(), strict=True):
+        assert ids[at:at + n].tolist() == pieces.encode_word(MODEL, word.encode()), word
+        at += n
+    assert at == len(ids)
+
+
 def test_query_covers_all_documents_exactly(llm):
     out = QUERIES["op7_pieces"](llm, SMALL)
     docs = llm.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
