@@ -35,7 +35,7 @@ def to_number(text: Column) -> Column:
 
 
 def to_whole(text: Column, kind: str) -> Column:
-    """Text to ``int`` or ``bigint``; ``12.0`` counts as 12, other text gives null."""
+    """Text to ``int`` or ``bigint``: decimals are cut (12.7 is 12, -0.9 is 0), no number is null."""
     return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
 
 

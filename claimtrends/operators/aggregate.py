@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +19,36 @@ TOTALS = {
 }
 
 
+AMOUNTS = ("total_amount", "medicaid_amount", "non_medicaid_amount")
+
+Decimals = int | Mapping[str, int] | None
+
+
 def _total(source: str, decimals: int | None) -> Column:
-    if decimals is None or source == "prescriptions":
+    """A sum, exact if the column's decimals are known; a value with more of them raises."""
+    if decimals is None:
         return F.sum(source)
-    scale = float(10**decimals)
-    return F.sum(F.rint(F.col(source) * scale).cast("bigint")) / scale
+    scaled = F.col(source) * float(10**decimals)
+    whole = F.rint(scaled)
+    # A sum or a difference of decimals may be off by the last bits of a double.
+    noise = F.abs(scaled) * 1e-15 + 1e-6
+    lost = F.concat(F.lit(f"{source} has more than {decimals} decimals: "), F.col(source).cast("string"))
+    exact = F.when(F.abs(whole - scaled) <= noise, whole.cast("bigint"))
+    return F.sum(exact.otherwise(F.raise_error(lost).cast("bigint"))) / float(10**decimals)
 
 
-def quarterly_totals(df: DataFrame, decimals: int | None = None) -> DataFrame:
+def quarterly_totals(df: DataFrame, decimals: Decimals = None) -> DataFrame:
     """Five sums per state, drug, product and quarter; unknown measures count as 0.
 
     Sums combine on the map side, so a key that holds a third of all claims sends one
-    row per task. ``decimals`` adds amounts as whole numbers of their last decimal: the
-    totals then do not depend on the order of addition. Use it when inputs have no more
-    decimals than that; a sum too large for a long raises.
+    row per task. ``decimals`` adds whole numbers of the last decimal: the totals then do
+    not depend on the order of addition. A number holds for the three amounts, and units
+    are added as they are; a mapping names the decimals of each claim column. A value that
+    has more decimals raises, as does a sum too large for a long.
     """
     filled = df.fillna(dict.fromkeys(CLAIM_MEASURES, 0))
-    totals = [_total(source, decimals).alias(name) for name, source in TOTALS.items()]
+    known = dict.fromkeys(AMOUNTS, decimals) if isinstance(decimals, int) else decimals or {}
+    totals = [_total(source, known.get(source)).alias(name) for name, source in TOTALS.items()]
     return filled.groupBy(*AGGREGATE_KEYS).agg(*totals)
 
 
@@ -57,13 +72,12 @@ def safe_ratios_zero(df: DataFrame) -> DataFrame:
 
 
 def quarterly_aggregates(
-    df: DataFrame, decimals: int | None = None, by_state: bool = False
+    df: DataFrame, decimals: Decimals = None, by_state: bool = False
 ) -> DataFrame:
     """Quarterly totals with ratios.
 
-    ``by_state`` repartitions on the state, which later per-state windows can reuse. It
-    limits parallelism to the number of states and piles a large state into one task, so
-    it is off by default.
+    ``by_state`` brings the rows of a state together, in parts of even size: a large state
+    has several, and small ones share one.
     """
     out = safe_ratios(quarterly_totals(df, decimals))
-    return out.repartition("state") if by_state else out
+    return out.hint("rebalance", "state") if by_state else out

@@ -1,8 +1,10 @@
 import datetime as dt
 
+import pytest
+from conftest import quarter
 from pyspark.sql import functions as F
 
-from claimtrends.operators.aggregate import quarterly_aggregates, safe_ratios_zero
+from claimtrends.operators.aggregate import quarterly_aggregates, quarterly_totals, safe_ratios_zero
 
 SCHEMA = (
     "state string, ndc11_normalized string, product_name_fda10 string, quarter_start date,"
@@ -61,3 +63,20 @@ def test_a_hot_key_reaches_the_shuffle_as_one_row_per_task(spark):
     out = quarterly_aggregates(rows)
     assert "partial_sum" in out._jdf.queryExecution().executedPlan().toString()
     assert out.first().total_scripts == 30_000
+
+
+def test_decimals_keep_units_and_refuse_to_lose_any(spark):
+    rows = [("CA", "1", "A", quarter(0), 0.004, 1, 10.25, 5.05, 5.2)] * 5
+    names = "state string, ndc11_normalized string, product_name_fda10 string, quarter_start date," \
+        " units_reimbursed double, prescriptions bigint, total_amount double, medicaid_amount double," \
+        " non_medicaid_amount double"
+    claims = spark.createDataFrame(rows, names)
+    got = quarterly_totals(claims, decimals=2).first()
+    assert got.total_units == pytest.approx(0.02) and got.total_spend == 51.25
+    assert quarterly_totals(claims, decimals={"units_reimbursed": 3}).first().total_units == 0.02
+    with pytest.raises(Exception, match="units_reimbursed has more than 2 decimals"):
+        quarterly_totals(claims, decimals={"units_reimbursed": 2}).collect()
+    with pytest.raises(Exception, match="total_amount has more than 1 decimals"):
+        quarterly_totals(claims, decimals=1).collect()
+    noisy = claims.withColumn("total_amount", F.lit(123.45) + F.lit(0.005))
+    assert quarterly_totals(noisy, decimals=3).first().total_spend == 617.275
