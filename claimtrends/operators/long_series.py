@@ -32,9 +32,12 @@ def over_series(
 ) -> DataFrame:
     """``transform(df, spec)``, with series above ``max_rows`` rows computed in blocks.
 
-    Counting the series reads only their keys. ``df`` should be a stored table, as it is
-    read again after the count.
+    A stored table that has no more rows than that in all has no longer series, and is not
+    counted. Otherwise the count reads the keys alone, and ``df`` is read again after it.
     """
+    rows = getattr(df, "stored_rows", None)
+    if rows is not None and rows <= max_rows:
+        return transform(df, spec)
     sizes = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("rows"))
     long_keys = sizes.where(F.col("rows") > max_rows).select(*spec.keys)
     if long_keys.isEmpty():

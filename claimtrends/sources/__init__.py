@@ -1,18 +1,22 @@
 from .claims_csv import export_csv, read_claims, read_raw_csvs
-from .session import configure, shared_folder
+from .session import configure, shared_folder, use_folder
 from .tables import (
     checkpoint_table,
     load_forecasts,
     materialize,
+    new_path,
     read_parquet,
     register_views,
     save_forecasts,
     stage_counts,
+    stage_tables,
+    store,
     write_parquet,
 )
 
 __all__ = [
     "checkpoint_table", "configure", "export_csv", "load_forecasts", "materialize",
-    "read_claims", "read_parquet", "read_raw_csvs", "register_views", "save_forecasts",
-    "shared_folder", "stage_counts", "write_parquet",
+    "new_path", "read_claims", "read_parquet", "read_raw_csvs", "register_views",
+    "save_forecasts", "shared_folder", "stage_counts", "stage_tables", "store", "use_folder",
+    "write_parquet",
 ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,10 @@ HEADER_READERS = 32
 
 
 def _list_csv(spark: SparkSession, folder: str) -> list[str]:
-    # The content column is pruned, so this only lists the folder.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
     try:
-        paths = [row.path for row in files.load(folder).select("path").collect()]
+        # This lists the folder without a job; the names come as URIs.
+        paths = [unquote(path) for path in files.load(folder).inputFiles()]
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"folder {folder} not found") from error
@@ -27,6 +28,19 @@ def _list_csv(spark: SparkSession, folder: str) -> list[str]:
     return sorted(paths)
 
 
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line with any text, straight from the file system; None if there is none."""
+    java, target = spark._jvm.java, spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = java.io.BufferedReader(java.io.InputStreamReader(files.open(target), "UTF-8"))
+    try:
+        while (line := reader.readLine()) is not None and not line.strip():
+            pass
+        return line
+    finally:
+        reader.close()
+
+
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(spark.read.option("header", True).csv(path).columns)
 
@@ -37,12 +51,14 @@ def _scans(spark: SparkSession, folder: str, uniform: bool) -> list[DataFrame]:
     if uniform:
         groups = {_header(spark, paths[0]): paths}
     else:
-        groups = {}
+        lines: dict[str, list[str]] = {}
         with ThreadPoolExecutor(HEADER_READERS) as pool:
-            headers = pool.map(lambda path: _header(spark, path), paths)
-            for path, header in zip(paths, headers):
-                if header:  # an empty file has none
-                    groups.setdefault(header, []).append(path)
+            for path, line in zip(paths, pool.map(lambda path: _first_line(spark, path), paths)):
+                if line is not None:  # an empty file has none
+                    lines.setdefault(line, []).append(path)
+        groups = {}
+        for members in lines.values():  # Spark splits each distinct first line once
+            groups.setdefault(_header(spark, members[0]), []).extend(members)
     if not any(groups):
         raise FileNotFoundError(f"no CSV headers in {folder}")
     scans = []
@@ -62,8 +78,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def read_raw_csvs(spark: SparkSession, folder: str, uniform: bool = False) -> DataFrame:
     """All ``*.csv`` files of a folder as text columns, united by column name.
 
-    Only the first line of each file is read to learn its header. With ``uniform`` the
-    first file speaks for all, and Spark raises while scanning if another one differs.
+    Only the first line of each file is read to learn its header, without a job for it; jobs
+    grow with the number of distinct headers. With ``uniform`` the first file speaks for all,
+    and Spark raises while scanning if another one differs.
     """
     return _union(_scans(spark, folder, uniform))
 

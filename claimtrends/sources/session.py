@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
+# Where they differ from Spark's defaults.
 SETTINGS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.pyspark.fallback.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }
@@ -28,8 +22,7 @@ def configure(spark: SparkSession, **overrides: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster sets it.
 
-    A temporary folder stands in only on a local master, where driver and executors are
-    one process; on a cluster without the setting this is an error.
+    Without that setting, and without a call of ``use_folder``, this is an error.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -40,7 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="claimtrends-"))
-    return context.getCheckpointDir().rstrip("/")
+    raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+
+
+def use_folder(spark: SparkSession, folder: str) -> SparkSession:
+    """Name the folder for intermediate tables where the launcher has set none."""
+    try:
+        shared_folder(spark)
+    except RuntimeError:
+        spark.sparkContext.setCheckpointDir(folder)
+    return spark

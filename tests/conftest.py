@@ -16,7 +16,7 @@ AGGREGATE_SCHEMA = (
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("claimtrends-tests")
@@ -28,6 +28,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("stages")))
     yield session
     session.stop()
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from claimtrends.columns import FORECAST_SCHEMA
 from claimtrends.sources import (
     checkpoint_table, configure, export_csv, load_forecasts, materialize, read_claims, read_parquet,
-    read_raw_csvs, register_views, save_forecasts, shared_folder, stage_counts, write_parquet,
+    read_raw_csvs, register_views, save_forecasts, shared_folder, stage_counts, stage_tables,
+    store, write_parquet,
 )
 from claimtrends.sources import session as session_module
 
@@ -110,7 +111,7 @@ def test_materialize_builds_once_and_repairs_a_broken_write(spark, tmp_path):
     assert materialize(spark, path, build).count() == 3
     assert materialize(spark, path, build).count() == 3
     assert len(calls) == 1
-    (tmp_path / "m" / "_temporary").mkdir()
+    (tmp_path / "m" / "_SUCCESS").unlink()
     assert materialize(spark, path, build).count() == 3
     assert len(calls) == 2
 
@@ -170,7 +171,41 @@ def test_shared_folder_is_the_clusters():
     assert shared_folder(_Session(_Context("yarn", {}, "hdfs:///y"))) == "hdfs:///y"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(_Session(_Context("yarn", {})))
-    assert shared_folder(_Session(_Context("local[2]", {})))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(_Session(_Context("local[2]", {})))
+
+
+def test_stage_tables_go_with_their_scope(spark, tmp_path):
+    from pathlib import Path
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    kept = checkpoint_table(spark.range(4), "kept")
+    with stage_tables(spark):
+        inner = checkpoint_table(spark.range(9), "inner")
+        assert inner.stored_rows == inner.count() == 9
+        assert len(set(folder.iterdir()) - before) == 2
+    assert len(set(folder.iterdir()) - before) == 1 and kept.count() == 4
+
+
+def test_folder_columns_keep_type_and_place(spark, tmp_path):
+    rows = spark.createDataFrame([("05", 1.5), ("5", 2.5), (None, 3.5)], "state string, spend double")
+    back = store(rows, str(tmp_path / "t"), partition_by=("state",))
+    assert back.schema == rows.schema and back.stored_rows == 3
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    assert "PartitionFilters: [isnotnull(state" in back.where("state = '05'")._jdf.queryExecution().toString()
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    files = {f"f{i}": ["State,NDC" if i % 2 else "NDC,State", f"{i},{i}"] for i in range(200)}
+    files["empty"] = [""]
+    folder = write(tmp_path / "many", **files)
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        rows = read_raw_csvs(spark, folder)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 4 and rows.count() == 200
 
 
 def test_configure_sets_runtime_settings(spark):
