@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..columns import DashboardRules, RiskRules
 from ..functions import flag, round_to
+from ..sources.tables import checkpoint_table
 from .joins import attach
-from .quantiles import approx_quantiles, exact_quantile
+from .quantiles import approx_quantiles, exact_quantile, exact_quantiles
 
 PEERS = ("state", "quarter_start")
 
@@ -41,11 +42,10 @@ def spend_percentiles(
 
 
 def spend_percentiles_global(df: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:
-    """The same over all rows. Both percentiles are exact and enter as scalar subqueries."""
-    return df.withColumns({
-        name: exact_quantile(df, "total_spend", q, (), name, interpolate=False).scalar()
-        for name, q in _quantiles(rules).items()
-    })
+    """The same over all rows. Both percentiles are exact, from one pass, as scalar subqueries."""
+    names = _quantiles(rules)
+    found = checkpoint_table(exact_quantiles(df, "total_spend", names, (), interpolate=False), "quantiles")
+    return df.withColumns({name: found.select(name).scalar() for name in names})
 
 
 def risk_flags(df: DataFrame, rules: RiskRules = RiskRules()) -> DataFrame:

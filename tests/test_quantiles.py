@@ -37,9 +37,26 @@ def test_discrete_quantile_of_the_table(values, quantile):
 
 def test_only_the_bracket_is_ordered(spark):
     df = spark.range(200_000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("x"))
-    bracket = quantiles._bracket(df, "x", 0.75, ("g",)).first()
-    inside = bracket["__high"] - bracket["__low"]
-    assert 0 < inside < 200_000 * 2 * (quantiles.MARGIN + 2 / quantiles.ACCURACY)
+    bracket = quantiles._brackets(df, "x", [0.75, 0.9], ("g",)).first()
+    for i in range(2):
+        inside = bracket[f"__high{i}"] - bracket[f"__low{i}"]
+        assert 0 < inside < 200_000 * 2 * (quantiles.MARGIN + 2 / quantiles.ACCURACY)
+
+
+def test_several_quantiles_from_one_pass(values):
+    df, data = values
+    wanted = {"a": 0.1, "b": 0.75, "c": 0.9}
+    got = {r.g: (r.a, r.b, r.c) for r in quantiles.exact_quantiles(df, "x", wanted, ("g",)).collect()}
+    for group, x in data.items():
+        assert got[group] == pytest.approx(tuple(np.quantile(x, list(wanted.values()))), rel=1e-12)
+
+
+def test_no_rank_window_over_a_whole_group(spark):
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("x"))
+    found = quantiles.exact_quantiles(df, "x", {"p": 0.5, "q": 0.9})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__task" in line for line in plan.splitlines() if "Window [" in line)
+    assert tuple(found.first()) == (24_999.5, pytest.approx(44_999.1))
 
 
 def test_empty_table_gives_null(spark):
