@@ -1,6 +1,7 @@
 """Four-quarter forecasts for all chosen series in one plan.
 
-The built-in model is a linear trend times a seasonal index with a normal 80% band. Other
+The built-in model is a linear trend times a seasonal index with a normal 80% band that is as
+wide as the degrees of freedom left and the distance ahead ask for. Other
 solvers give other numbers; ``forecast_with`` takes any per-series model instead.
 """
 
@@ -59,7 +60,9 @@ def quarter_points(frame: DataFrame) -> DataFrame:
 def _fits(points: DataFrame) -> DataFrame:
     """Trend, seasonal indices and residual deviation, one row per series.
 
-    Windows and the last aggregation share one exchange on the series keys.
+    A season seen once would fit itself, so only one seen twice has an index of its own. The
+    squared residuals are divided by the points less the fitted parameters; where none are left
+    the deviation is null. Windows and the last aggregation share one exchange on the series keys.
     """
     series = Window.partitionBy(*SERIES)
     season = Window.partitionBy(*SERIES, "season")
@@ -70,10 +73,11 @@ def _fits(points: DataFrame) -> DataFrame:
         "mean_y": F.avg("y").over(series),
         "level": F.avg(F.abs("y")).over(series),
     }).withColumn("base", F.col("mean_y") + F.col("slope") * (F.col("t") - F.col("mean_t")))
-    usable = F.col("base") > F.col("level") * TREND_FLOOR
-    seasonal = trended.withColumn(
-        "index", F.coalesce(F.avg(F.when(usable, F.col("y") / F.col("base"))).over(season), F.lit(1.0))
+    usable = F.when(F.col("base") > F.col("level") * TREND_FLOOR, F.col("y") / F.col("base"))
+    seasonal = trended.withColumn("seen", F.count(usable).over(season)).withColumn(
+        "index", F.when(F.col("seen") > 1, F.avg(usable).over(season)).otherwise(1.0)
     )
+    own_season = F.collect_set(F.when(F.col("seen") > 1, F.col("season")))
     residual = F.col("y") - F.col("base") * F.col("index")
     indices = [
         F.max(F.when(F.col("season") == s, F.col("index"))).alias(f"index_{s}") for s in range(1, 5)
@@ -84,8 +88,13 @@ def _fits(points: DataFrame) -> DataFrame:
         F.first("slope").alias("slope"),
         F.first("mean_t").alias("mean_t"),
         F.first("mean_y").alias("mean_y"),
-        F.stddev_samp(residual).alias("deviation"),
+        F.count(F.lit(1)).alias("quarters"),
+        (F.var_pop("t") * F.count("t")).alias("spread"),
+        F.sum(residual * residual).alias("squares"),
+        F.size(own_season).alias("seasons"),
         *indices,
+    ).withColumn("left", F.col("quarters") - F.least("quarters", F.lit(2)) - F.col("seasons")).withColumn(
+        "deviation", F.when(F.col("left") > 0, F.sqrt(F.col("squares") / F.col("left")))
     )
 
 
@@ -113,7 +122,11 @@ def _chosen(universe: DataFrame) -> DataFrame:
 def forecast_seasonal_trend(
     frame: DataFrame, universe: DataFrame, metric: str = "spend", horizon: int = HORIZON
 ) -> DataFrame:
-    """Forecast every chosen series; one row with an error for those too short."""
+    """Forecast every chosen series; one row with an error for those too short.
+
+    MIN_POINTS counts rows, as product names of a quarter do; bounds are null where a series has
+    too few quarters to tell its noise.
+    """
     fits = attach(_chosen(universe), _fits(quarter_points(frame)), SERIES)
     steps = fits.withColumn("forecast_period", F.explode(_periods(horizon)))
     step = F.col("forecast_period")
@@ -122,9 +135,10 @@ def forecast_seasonal_trend(
     index = F.coalesce(
         *[F.when(season == s, F.col(f"index_{s}")) for s in range(1, 5)], F.lit(1.0)
     )
-    trend = F.col("mean_y") + F.col("slope") * (quarter_index(next_start) - F.col("mean_t"))
-    value = trend * index
-    margin = F.coalesce(F.col("deviation"), F.lit(0.0)) * BAND
+    away = quarter_index(next_start) - F.col("mean_t")
+    value = (F.col("mean_y") + F.col("slope") * away) * index
+    tilt = F.when(F.col("spread") > 0, away * away / F.col("spread")).otherwise(0.0)
+    margin = F.col("deviation") * BAND * F.sqrt(1 + 1 / F.col("quarters") + tilt)
     known = step.isNotNull()
     return _named(
         steps.withColumns({
@@ -172,7 +186,8 @@ _MODEL_SCHEMA = T.StructType([
 
 
 def _guarded(model: Model, horizon: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Run a model on one series; what it raises becomes the series' error row."""
+    """Run a model on one series; what it raises or fails to give is the series' error row."""
+    wanted = ("yhat", "yhat_lower", "yhat_upper")
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         points = group.sort_values("ds", ignore_index=True)
@@ -180,14 +195,20 @@ def _guarded(model: Model, horizon: int) -> Callable[[tuple, pd.DataFrame], pd.D
         try:
             if points["rows"].sum() < MIN_POINTS:
                 raise ValueError(TOO_SHORT)
-            result = model(points[["ds", "y"]], horizon)
-            values = [result[c].to_list() for c in ("yhat", "yhat_lower", "yhat_upper")]
-            steps = list(range(1, len(result) + 1))
+            history = points[["ds", "y"]].assign(ds=pd.to_datetime(points["ds"]))
+            result = model(history, horizon)
+            if missing := [c for c in wanted if c not in result]:
+                raise ValueError(f"the model gave no {', '.join(missing)}")
+            if len(result) != horizon:
+                raise ValueError(f"the model gave {len(result)} steps of {horizon}")
+            values = [result[c].astype("float64").to_list() for c in wanted]
+            steps = list(range(1, horizon + 1))
         except Exception as failure:  # noqa: BLE001 - any failure belongs to its series
-            error = str(failure)
+            error = str(failure) or type(failure).__name__
         last = points["ds"].iloc[-1]
         columns = [[fixed] * len(steps) for fixed in (*key, last)]
-        columns += [steps, *values, [error] * len(steps)]
+        columns += [pd.array(steps, "Int32"), *[pd.Series(v, dtype="float64") for v in values]]
+        columns += [[error] * len(steps)]
         return pd.DataFrame(dict(zip(_MODEL_SCHEMA.names, columns)))
 
     return run
@@ -202,8 +223,9 @@ def forecast_with(
 ) -> DataFrame:
     """Forecast with a pandas model that maps (ds, y) points to yhat, yhat_lower, yhat_upper.
 
-    Groups run on the executors and hold one point per quarter. A failing series gives
-    one row with its error and leaves the others alone.
+    Groups run on the executors and hold one point per quarter, ``ds`` as timestamps. A series
+    whose model raises, or gives other columns, another number of steps or no numbers, has one
+    row with its error and leaves the others alone.
     """
     points = quarter_points(frame)
     results = points.groupBy(*SERIES).applyInPandas(_guarded(model, horizon), _MODEL_SCHEMA)

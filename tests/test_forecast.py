@@ -119,3 +119,29 @@ def test_history_and_forecast_share_a_table(aggregates):
     both = history_with_forecast(table, forecast.run_batch_forecasts(table, universe), "spend")
     kinds = [r.type for r in both.orderBy("ndc11_normalized", "quarter_start").collect()]
     assert kinds == ["historical"] * 4 + ["forecast"] * 4 + ["historical"]
+
+
+@pytest.mark.parametrize("kind,message", [
+    ("empty", "the model gave no yhat"), ("short", "the model gave 3 steps of 4"),
+    ("text", "could not convert"), ("missing", "the model gave no yhat_upper"), ("none", ""),
+    ("silent", "KeyError"),
+])
+def test_a_model_cannot_stop_the_others(spark, aggregates, kind, message):
+    """Each fault is the error row of its series; the other series is forecast."""
+
+    def model(points, horizon):
+        good = pd.DataFrame({c: [points["y"].iloc[-1]] * horizon for c in ("yhat", "yhat_lower", "yhat_upper")})
+        assert str(points["ds"].dtype).startswith("datetime64")
+        if points["y"].iloc[0] < 100:
+            return good
+        if kind == "silent":
+            raise KeyError
+        return {"empty": pd.DataFrame(), "short": good.head(3), "text": good.assign(yhat="x"),
+                "missing": good[["yhat", "yhat_lower"]], "none": None}[kind]
+
+    history = aggregates(series([1.0] * 5) + series([200.0] * 5, ndc="2"))
+    universe = forecast.forecast_universe(history, 5)
+    rows = forecast.run_batch_forecasts(history, universe, "spend", model=model).collect()
+    assert sorted(r.forecast_value for r in rows if r.ndc11 == "1") == [1.0] * 4
+    bad = [r for r in rows if r.ndc11 == "2"]
+    assert len(bad) == 1 and message in bad[0].error and bad[0].error and bad[0].forecast_value is None
