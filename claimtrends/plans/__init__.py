@@ -1,6 +1,8 @@
 from .pipeline import (
+    Dashboard,
     Stages,
     aggregates_from_claims,
+    dashboard,
     forecast,
     product_features,
     quality_checked,
@@ -11,6 +13,6 @@ from .pipeline import (
 )
 
 __all__ = [
-    "Stages", "aggregates_from_claims", "forecast", "product_features", "quality_checked",
+    "Dashboard", "Stages", "aggregates_from_claims", "dashboard", "forecast", "product_features", "quality_checked",
     "risks_from_features", "run", "series_features", "stages_from_claims",
 ]

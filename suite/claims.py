@@ -32,7 +32,7 @@ def _line_items(spark: SparkSession, folder: str) -> DataFrame:
     owners = _table(spark, folder, "orders").join(
         _table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")
     ).select("o_orderkey", "c_nationkey")
-    brands = _table(spark, folder, "part").select("p_partkey", "p_brand")
+    brands = _table(spark, folder, "part").select("p_partkey", "p_brand", "p_type")
     return (
         _table(spark, folder, "lineitem")
         .join(brands, F.col("l_partkey") == F.col("p_partkey"))
@@ -56,16 +56,19 @@ def _amounts() -> dict[str, Column]:
     }
 
 
-def claims(spark: SparkSession, folder: str) -> DataFrame:
-    """One canonical claim per line item."""
+def claims(spark: SparkSession, folder: str, sparse: bool = False) -> DataFrame:
+    """One canonical claim per line item. Codes and product names are many to many.
+
+    ``sparse`` takes the part's number for its code, which leaves most series a few quarters.
+    """
     rows = _line_items(spark, folder).select(
         F.when(F.col("l_returnflag") == "R", "MCOU").otherwise("FFSU").alias("record_type"),
         F.lpad(F.col("c_nationkey").cast("string"), 2, "0").alias("state"),
-        F.col("p_brand").alias("ndc11"),
+        (F.col("p_partkey").cast("string") if sparse else F.col("p_brand")).alias("ndc11"),
         F.year("l_shipdate").alias("year"),
         F.quarter("l_shipdate").alias("quarter"),
         F.lit("false").alias("suppression_used"),
-        F.col("p_brand").alias("product_name_fda10"),
+        F.col("p_type").alias("product_name_fda10"),
         F.col("l_quantity").alias("units_reimbursed"),
         F.lit(1).cast("bigint").alias("prescriptions"),
         *[column.alias(name) for name, column in _amounts().items()],

@@ -52,7 +52,7 @@ claims AS (
     CAST(year(l_shipdate) AS INTEGER) AS year,
     CAST(quarter(l_shipdate) AS INTEGER) AS quarter,
     'false' AS suppression_used,
-    p_brand AS product_name_fda10,
+    p_type AS product_name_fda10,
     l_quantity AS units_reimbursed,
     CAST(1 AS BIGINT) AS prescriptions,
     CAST(amount AS DOUBLE) AS total_amount,
@@ -114,9 +114,10 @@ cleansed AS (
 )"""
 
 
-def _totals(name: str, table: str, decimals: int = 2) -> str:
+def _totals(name: str, table: str, decimals: int = 2, units: str = "units_reimbursed") -> str:
     def total(column: str, out: str) -> str:
-        exact = f"CAST(coalesce({column}, 0) AS DECIMAL(18,{decimals}))"
+        digits = 3 if "/" in column else decimals
+        exact = f"CAST(coalesce({column}, 0) AS DECIMAL(18,{digits}))"
         return f"CAST(sum({exact}) AS DOUBLE) AS {out}"
 
     return f""",
@@ -127,7 +128,7 @@ def _totals(name: str, table: str, decimals: int = 2) -> str:
     CASE WHEN total_spend > 0 THEN medicaid_spend / total_spend END AS medicaid_share
   FROM (
     SELECT {', '.join(KEYS)},
-      {total('units_reimbursed', 'total_units')},
+      {total(units, 'total_units')},
       CAST(sum(coalesce(prescriptions, 0)) AS BIGINT) AS total_scripts,
       {total('total_amount', 'total_spend')},
       {total('medicaid_amount', 'medicaid_spend')},
@@ -332,15 +333,19 @@ fitted AS (
       avg(y) OVER w AS mean_y, avg(abs(y)) OVER w AS level
     FROM points WINDOW w AS (PARTITION BY state, ndc11_normalized))
 ),
+usable AS (
+  SELECT *, CASE WHEN base > level * 0.05::DOUBLE THEN y / base END AS share FROM fitted
+),
 seasonal AS (
-  SELECT *, coalesce(avg(CASE WHEN base > level * 0.05::DOUBLE THEN y / base END)
-    OVER (PARTITION BY state, ndc11_normalized, season), 1) AS idx
-  FROM fitted
+  SELECT *, count(share) OVER s > 1 AS own_season,
+    CASE WHEN count(share) OVER s > 1 THEN avg(share) OVER s ELSE 1 END AS idx
+  FROM usable WINDOW s AS (PARTITION BY state, ndc11_normalized, season)
 ),
 fits AS (
   SELECT state, ndc11_normalized, sum(n_rows) AS n, max(ds) AS last, any_value(slope) AS slope,
     any_value(mean_t) AS mean_t, any_value(mean_y) AS mean_y,
-    coalesce(stddev_samp(y - base * idx), 0) AS deviation,
+    count(*) AS quarters, var_pop(t) * count(*) AS spread, sum((y - base * idx) ** 2) AS squares,
+    count(*) - least(count(*), 2) - count(DISTINCT season) FILTER (own_season) AS dof,
     map_from_entries(list(DISTINCT (season, idx))) AS indices
   FROM seasonal GROUP BY ALL
 ),
@@ -352,10 +357,14 @@ steps AS (
 ahead AS (
   SELECT *, CAST(last + to_months(CAST(3 * h AS INTEGER)) AS DATE) AS next_start FROM steps
 ),
+away_ahead AS (
+  SELECT *, 4 * year(next_start) + quarter(next_start) - 8001 - mean_t AS away FROM ahead
+),
 values_ahead AS (
-  SELECT *, (mean_y + slope * (4 * year(next_start) + quarter(next_start) - 8001 - mean_t))
-    * coalesce(indices[quarter(next_start)], 1) AS value
-  FROM ahead
+  SELECT *, (mean_y + slope * away) * coalesce(indices[quarter(next_start)], 1) AS value,
+    CASE WHEN dof > 0 THEN sqrt(squares / dof) * sqrt(1 + 1 / quarters
+      + CASE WHEN spread > 0 THEN away * away / spread ELSE 0 END) END AS deviation
+  FROM away_ahead
 ),
 forecasts AS (
   SELECT state, ndc11_normalized AS ndc11, product_name_fda10 AS product_name,
@@ -476,6 +485,11 @@ SELECT * FROM (SELECT state, ndc11_normalized, quarter_start,
   CAST(sum(prescriptions) AS BIGINT) AS total_scripts FROM claims GROUP BY ALL)
 WHERE total_spend >= 0 AND total_scripts >= 0""",
     "quarterly_aggregates": select(_AGG, AGG_SHOWN, "agg"),
+    "quarterly_aggregates_by_state": select(_AGG, AGG_SHOWN, "agg"),
+    "quarterly_units_fractional": select(
+        _CLAIMS + _totals("agg", "claims", units="units_reimbursed / 8"), [*KEYS, *TOTALS], "agg"
+    ),
+    "trend_features_in_blocks": select(_FEATURES, FEATURES_SHOWN, "features"),
     "safe_ratios": select(_SAFE, AGG_SHOWN, "messy_agg"),
     "safe_ratios_zero": select(
         _SAFE,
@@ -555,7 +569,7 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         "WHERE state = '05' AND ndc11_normalized = '00000000013' ORDER BY quarter_start",
     ),
     "history_by_product": select(
-        _TRENDS, TRENDS_SHOWN, "trends", "WHERE state = '05' AND product_name_fda10 = 'Brand#13'"
+        _TRENDS, TRENDS_SHOWN, "trends", "WHERE state = '05' AND product_name_fda10 = 'PROMO'"
     ),
     "top_spend_latest": select(
         _RISKS, TOP_SPEND, "risks",
@@ -633,6 +647,15 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         _AGG, ["state", shown_as("avg(total_spend)", "total_spend", 4)], "agg",
         f"{NEWEST.format('agg')} GROUP BY state ORDER BY avg(agg.total_spend) DESC, state LIMIT 10",
     ),
+    "state_comparison_units": select(
+        _AGG, ["state", shown_as("avg(total_units)", "total_units", 4)], "agg",
+        f"{NEWEST.format('agg')} GROUP BY state ORDER BY avg(agg.total_units) DESC, state LIMIT 10",
+    ),
+    "dashboard_filtered": select(
+        _TRENDS, TRENDS_SHOWN, "trends",
+        "WHERE state IN ('03', '05', '11') AND quarter_start = (SELECT max(quarter_start) FROM trends"
+        f" WHERE state IN ('03', '05', '11')) ORDER BY trends.total_spend DESC, {TIES} LIMIT 10",
+    ),
     "universe_summary": select(
         _AGG,
         ["count(DISTINCT state) AS total_states",
@@ -648,6 +671,14 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     ),
     "state_products": select(_AGG, "DISTINCT product_name_fda10", "agg", "WHERE state = '05'"),
     "forecast_universe": select(_UNIVERSE, AGG_SHOWN, "universe"),
+    "forecast_universe_units": select(
+        _UNIVERSE.replace("ORDER BY total_spend DESC", "ORDER BY total_units DESC"), AGG_SHOWN, "universe"
+    ),
+    "forecast_short_series": select(
+        _UNIVERSE.replace("p_brand AS ndc11", "CAST(p_partkey AS VARCHAR) AS ndc11").replace(
+            "regexp_replace(p_brand,", "regexp_replace(CAST(p_partkey AS VARCHAR),")
+        + _forecast("latest", "spend"), "*", "forecasts"
+    ),
     "forecast_input": select(
         _UNIVERSE, AGG_SHOWN, "agg SEMI JOIN universe USING (state, ndc11_normalized)"
     ),
@@ -675,6 +706,32 @@ SELECT state, ndc11_normalized AS ndc11, product_name_fda10 AS product_name, 'sp
   {shown_as("y_last + step * h + step", "forecast_upper", 2)},
   CASE WHEN n IS NULL OR n < 4 THEN 'Insufficient data' WHEN step < 0 THEN 'falling series' END AS error
 FROM drifted""",
+    "forecast_faulty_models": f"""WITH {_UNIVERSE},
+points AS (
+  SELECT state, ndc11_normalized, quarter_start AS ds, avg(total_spend) AS y,
+    count(total_spend) AS n_rows
+  FROM agg SEMI JOIN universe USING (state, ndc11_normalized) GROUP BY ALL
+),
+ends AS (
+  SELECT state, ndc11_normalized, sum(n_rows) AS n, count(*) % 5 AS kind, max(ds) AS last,
+    arg_max(y, ds) AS value
+  FROM points GROUP BY ALL
+),
+flat AS (
+  SELECT * EXCLUDE (h), CASE WHEN n >= 4 AND kind = 0 THEN h END AS h
+  FROM universe LEFT JOIN ends USING (state, ndc11_normalized), range(1, 5) AS s(h)
+  WHERE h = 1 OR (n >= 4 AND kind = 0)
+)
+SELECT state, ndc11_normalized AS ndc11, product_name_fda10 AS product_name, 'spend' AS metric,
+  CAST(h AS INTEGER) AS forecast_period,
+  CAST(last + to_months(CAST(3 * h AS INTEGER)) - INTERVAL 1 DAY AS DATE) AS forecast_date,
+  CAST(last + to_months(CAST(3 * h AS INTEGER)) AS DATE) AS forecast_quarter_start,
+  {', '.join(shown_as("CASE WHEN h IS NOT NULL THEN value END", f"forecast_{c}", 2) for c in ("value", "lower", "upper"))},
+  CASE WHEN n IS NULL OR n < 4 THEN 'Insufficient data' WHEN kind = 1
+    THEN 'the model gave no yhat, yhat_lower, yhat_upper' WHEN kind = 2
+    THEN 'the model gave 2 steps of 4' WHEN kind = 3 THEN 'no number' WHEN kind = 4
+    THEN 'the model gave no yhat' END AS error
+FROM flat""",
     "history_with_forecast": f"""WITH {_BATCH}
 SELECT state, ndc11_normalized, quarter_start, {shown_as("total_spend", "value", 2)},
   'historical' AS type

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -18,6 +17,7 @@ from claimtrends.operators.long_series import over_series
 from claimtrends.plans import (
     Stages,
     aggregates_from_claims,
+    dashboard,
     product_features,
     quality_checked,
     run,
@@ -29,14 +29,14 @@ from claimtrends.sources import (
     export_csv,
     load_forecasts,
     materialize,
+    new_path,
     read_claims,
-    read_parquet,
     read_raw_csvs,
     register_views,
     save_forecasts,
-    shared_folder,
     stage_counts,
-    write_parquet,
+    store,
+    use_folder,
 )
 
 from . import claims as source
@@ -49,7 +49,7 @@ MILLS = 3
 STATE = "05"
 STATES = ("03", "05", "11")
 DRUG = "00000000013"
-PRODUCT = "Brand#13"
+PRODUCT = "PROMO"
 TOP_K = 10
 METRIC = "spend"
 
@@ -76,11 +76,16 @@ def shown(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns(rounded)
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """Where a session without a shared folder keeps intermediate tables: beside its tables."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+
+
 def query(name: str) -> Callable[[Query], Query]:
     """Register a query under a name."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, folder: fn(use_folder(spark, _local_folder(spark)), folder)
         return fn
 
     return register
@@ -117,10 +122,6 @@ def _dashboard(spark: SparkSession, folder: str) -> DataFrame:
     return checkpoint_table(serve.latest_quarter_global(trends), "latest")
 
 
-def _new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 CLAIM_COLUMNS = (
@@ -130,7 +131,7 @@ CLAIM_COLUMNS = (
 
 @query("scan_csv")
 def scan_csv_query(spark, folder):
-    path = _new_path(spark, "claims-csv")
+    path = new_path(spark, "claims-csv")
     export_csv(source.raw_claims(spark, folder), path)
     return read_claims(spark, path).select(*CLAIM_COLUMNS)
 
@@ -138,10 +139,11 @@ def scan_csv_query(spark, folder):
 @query("union_by_name")
 def union_by_name_query(spark, folder):
     """Two extracts in one folder: other column order, and one column less."""
-    path = _new_path(spark, "two-extracts")
+    path = new_path(spark, "two-extracts")
     raw = source.raw_claims(spark, folder)
-    early = raw.where(F.col("Year") < 1999).select(*reversed(raw.columns))
-    late = raw.where(F.col("Year") >= 1999).drop("Suppression Used")
+    before = F.coalesce(F.col("Year") < 1999, F.lit(False))
+    early = raw.where(before).select(*reversed(raw.columns))
+    late = raw.where(~before).drop("Suppression Used")
     export_csv(early, path)
     late.write.mode("append").option("header", True).csv(path)
     return read_raw_csvs(spark, path).select(*source.HEADERS.values())
@@ -149,19 +151,15 @@ def union_by_name_query(spark, folder):
 
 @query("parquet_roundtrip")
 def parquet_roundtrip_query(spark, folder):
-    path = _new_path(spark, "aggregates")
+    """One folder per state; a state such as '05' stays text."""
     totals = aggregate.quarterly_aggregates(source.claims(spark, folder), CENTS)
-    write_parquet(totals, path, partition_by=("state",))
-    states = read_parquet(spark, path).withColumn(
-        "state", F.lpad(F.col("state").cast("string"), 2, "0")
-    )
-    return shown(states)
+    return shown(store(totals, new_path(spark, "aggregates"), partition_by=("state",)))
 
 
 @query("materialize")
 def materialize_query(spark, folder):
     """The second call reads what the first one wrote."""
-    path = _new_path(spark, "materialized")
+    path = new_path(spark, "materialized")
     build = lambda: aggregate.quarterly_aggregates(source.claims(spark, folder), CENTS)
     materialize(spark, path, build)
     return shown(materialize(spark, path, build))
@@ -170,7 +168,7 @@ def materialize_query(spark, folder):
 @query("load_or_empty")
 def load_or_empty_query(spark, folder):
     """Stored forecasts, and nothing from a path that was never written."""
-    path = _new_path(spark, "forecasts")
+    path = new_path(spark, "forecasts")
     save_forecasts(_batch(spark, folder), path)
     absent = load_forecasts(spark, f"{path}-absent")
     return shown(load_forecasts(spark, path).unionByName(absent))
@@ -178,7 +176,7 @@ def load_or_empty_query(spark, folder):
 
 @query("export_csv")
 def export_csv_query(spark, folder):
-    path = _new_path(spark, "watchlist-csv")
+    path = new_path(spark, "watchlist-csv")
     export_csv(serve.watchlist(_risks(spark, folder)), path)
     text = spark.read.option("header", True).csv(path)
     return text.select(
@@ -280,9 +278,29 @@ def time_dimensions_query(spark, folder):
     return canonical.time_dimensions(totals)
 
 
+@query("quarterly_aggregates_by_state")
+def quarterly_aggregates_by_state_query(spark, folder):
+    """The rows of a state brought together, a large state in several parts."""
+    return shown(aggregate.quarterly_aggregates(source.claims(spark, folder), CENTS, by_state=True))
+
+
+@query("quarterly_units_fractional")
+def quarterly_units_fractional_query(spark, folder):
+    """Units in eighths: their decimals are their own, not those of the amounts."""
+    eighths = source.claims(spark, folder).withColumn("units_reimbursed", F.col("units_reimbursed") / 8)
+    known = dict.fromkeys(aggregate.AMOUNTS, CENTS) | {"units_reimbursed": 3}
+    return aggregate.quarterly_totals(eighths, known)
+
+
 # Features
 
 
+@query("trend_features_in_blocks")
+def trend_features_in_blocks_query(spark, folder):
+    """Series of more than twenty rows are computed block by block, with the same values."""
+    return shown(series_features(_aggregates(spark, folder), lags=(), max_rows=20))
+
+
 @query("qoq_change")
 def qoq_change_query(spark, folder):
     return shown(_per_series(spark, folder, features.qoq_change)).drop(*RATIOS)
@@ -403,7 +421,7 @@ def pipeline_risks_query(spark, folder):
 @query("pipeline_from_csv")
 def pipeline_from_csv_query(spark, folder):
     """The whole path: CSV extract in, three stored tables and their views out."""
-    path = _new_path(spark, "pipeline")
+    path = new_path(spark, "pipeline")
     export_csv(source.raw_claims(spark, folder), f"{path}/raw")
     return shown(run(spark, f"{path}/raw", f"{path}/processed", CENTS).risks)
 
@@ -549,6 +567,19 @@ def state_comparison_query(spark, folder):
     return shown(serve.state_comparison(_aggregates(spark, folder), "total_spend"), total_spend=4)
 
 
+@query("state_comparison_units")
+def state_comparison_units_query(spark, folder):
+    return shown(serve.state_comparison(_aggregates(spark, folder), "total_units"), total_units=4)
+
+
+@query("dashboard_filtered")
+def dashboard_filtered_query(spark, folder):
+    """Chosen states first, then the latest quarter of what is left."""
+    trends = product_features(_aggregates(spark, folder))
+    rows = dashboard(trends, STATES, TOP_K).top_spend
+    return shown(rows)
+
+
 @query("universe_summary")
 def universe_summary_query(spark, folder):
     return shown(serve.universe_summary(_planned(spark, folder)))
@@ -589,6 +620,20 @@ def forecast_universe_query(spark, folder):
     return shown(_chosen(spark, folder)[1])
 
 
+@query("forecast_universe_units")
+def forecast_universe_units_query(spark, folder):
+    return shown(forecast.forecast_universe(_aggregates(spark, folder), TOP_K, "units"))
+
+
+@query("forecast_short_series")
+def forecast_short_series_query(spark, folder):
+    """One code per part: most series are too short and say so."""
+    aggregates = aggregates_from_claims(source.claims(spark, folder, sparse=True), CENTS)
+    everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
+    frame = forecast.series_frame(aggregates, everything, METRIC)
+    return shown(forecast.forecast_seasonal_trend(frame, everything, METRIC))
+
+
 @query("forecast_input")
 def forecast_input_query(spark, folder):
     return shown(forecast.forecast_input(*_chosen(spark, folder)))
@@ -634,6 +679,22 @@ def forecast_grouped_map_query(spark, folder):
     return shown(forecast.run_batch_forecasts(aggregates, universe, METRIC, model=drift))
 
 
+@query("forecast_faulty_models")
+def forecast_faulty_models_query(spark, folder):
+    """A model that fails in another way for each code: error rows beside good forecasts."""
+
+    def model(points: pd.DataFrame, horizon: int) -> pd.DataFrame:
+        center = pd.Series([points["y"].iloc[-1]] * horizon)
+        good = pd.DataFrame({"yhat": center, "yhat_lower": center, "yhat_upper": center})
+        kind = len(points) % 5
+        return [good, pd.DataFrame(), good.head(2), good.assign(yhat="none"), good.drop(columns="yhat")][kind]
+
+    aggregates, universe = _chosen(spark, folder)
+    rows = forecast.run_batch_forecasts(aggregates, universe, METRIC, model=model)
+    error = F.when(F.col("error").startswith("could not convert"), "no number").otherwise(F.col("error"))
+    return shown(rows.withColumn("error", error))
+
+
 @query("history_with_forecast")
 def history_with_forecast_query(spark, folder):
     aggregates, universe = _chosen(spark, folder)

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from suite.oracles import ORACLES
+from suite.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
@@ -13,7 +15,6 @@ TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
     "boolean": "BOOLEAN",
 }
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
