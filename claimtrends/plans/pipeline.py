@@ -141,7 +141,10 @@ def run(
     risks = store(risks, paths["risks"], partition_by)
 
     register_views(spark, aggregates, features, risks)
-    counts = {"raw": raw.get["rows"], "cleansed": clean.get["rows"]}
+    if aggregates.stored_rows:
+        counts = {"raw": raw.get["rows"], "cleansed": clean.get["rows"]}
+    else:  # a plan that turns out empty at run time drops what it observes
+        counts = {"raw": read_claims(spark, raw_folder, uniform_headers).count(), "cleansed": 0}
     counts |= {n: t.stored_rows for n, t in (("aggregates", aggregates), ("features", features), ("risks", risks))}
     universe = None
     if universe_k is not None:

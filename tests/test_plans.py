@@ -73,7 +73,7 @@ def test_filters_and_columns_reach_the_scan(stored):
 
 def test_claims_are_filtered_before_their_joins(spark):
     plan = plan_of(QUERIES["quarterly_aggregates"](spark, FOLDER))
-    assert "ReadSchema: struct<p_partkey:bigint,p_brand:string>" in plan
+    assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_type:string>" in plan
 
 
 def test_distinct_counts_run_on_reduced_rows(stored):
