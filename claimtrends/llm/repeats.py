@@ -161,6 +161,7 @@ def _occurrences(texts: DataFrame, stages: Stages, length: int, gram: int) -> Da
 
     every = stages.save(by_batch(texts.select("key", "z"), find, "m long, c long, key binary, a int, p int, w int"), "anchors")
     again = every.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("m")
+    again = stages.save(again, "again")  # a join of stored tables splits a common anchor's rows
     out = stages.save(every.join(again, "m", "left_semi"), "occurrences")
     stages.drop("anchors")
     return out
