@@ -126,5 +126,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, always the same: those whose key hashes lowest."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
+    """At most ``rows`` rows: those whose key hashes lowest. Of rows with one key any may stay.
+
+    The cut is found on hashes alone, so only the sample's own rows meet in a task.
+    """
+    place = F.xxhash64(F.col(key).cast("string"))
+    cut = df.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place")).first()[0]
+    return df.limit(0) if cut is None else df.where(place <= cut).limit(rows)
