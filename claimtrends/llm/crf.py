@@ -164,7 +164,9 @@ def learn(texts: list[str], langs: list[str], seed: int = 1) -> Model:
                   np.zeros((size, size)), np.zeros(size))
     if not len(words):
         return model
-    chain = _switching(text, rng)
+    used, chain = np.unique(_switching(text, rng), return_inverse=True)
+    chain = chain.reshape(-1, LENGTH)
+    starts, ends, gold, words = starts[used], ends[used], gold[used], words[used]
     parts = list(zip(*_parts(prefix, starts, ends), strict=True))
     where = np.concatenate(parts[0])
     bucket = np.concatenate(parts[1]).astype(np.int64)
