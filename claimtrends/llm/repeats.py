@@ -29,9 +29,9 @@ from .words import mix, prefix_hash, span_hash
 #: Bytes of a string that counts as repeated, and of an anchor.
 LENGTH, GRAM = 200, 32
 #: Context bytes of a shard; an anchor with more than HOT context bytes is split.
-SHARD, HOT = 1_500_000, 8_000_000
-#: Starts that one vectorised step looks at.
-_BLOCK, _BITS = 1 << 22, np.uint64((1 << 24) - 1)
+SHARD, HOT = 1_000_000, 8_000_000
+#: Text bytes that one vectorised step looks at, and starts of one of its blocks.
+_STEP, _BLOCK, _BITS = 1_000_000, 1 << 20, np.uint64((1 << 24) - 1)
 
 
 class Runs(NamedTuple):
@@ -149,7 +149,7 @@ def _occurrences(texts: DataFrame, stages: Stages, length: int, gram: int) -> Da
         data = list(_unpacked(packed))
         size = np.array([len(d) for d in data], np.int64)
         found = []
-        for part in steps(size):
+        for part in steps(size, _STEP):
             offsets = np.concatenate([[0], np.cumsum(size[part])])
             own = runs(np.frombuffer(b"".join(data[part]), np.uint8), offsets, length, gram)
             base = offsets[own.text]
