@@ -11,7 +11,6 @@ permuted common prefixes tell which strings start elsewhere in it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, by_batch, steps, utf8
+from .common import Stages, by_batch, steps
 from .suffix import repeated
 from .words import mix, prefix_hash, span_hash
 
