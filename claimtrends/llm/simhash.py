@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages, by_batch
@@ -244,15 +244,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """The documents, one of each near-duplicate component: the smallest id, then the smallest md5.
 
     Rows equal in both are one document and stay once. A document without near-duplicates stays.
+    Texts are shuffled once, by id and md5, after equal rows of a task have become one.
     """
     found = near_duplicates(docs, id_col, text)
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("md5"))).alias("best")
-    best = found.groupBy(group.alias("g")).agg(best).select(
-        F.col("best.doc_id").alias("_id"), F.coalesce("best.md5", F.lit("")).alias("_md5")
-    )
+    best = found.groupBy(group.alias("g")).agg(best).select("best.doc_id", "best.md5")
+    best = best.select(_key(F.col("doc_id"), "_id"), _key(F.col("md5"), "_md5"))
     best = Stages(docs.sparkSession, "simhash").save(best, "best")
-    keyed = docs.withColumn("_md5", F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")))
-    kept = keyed.join(best.withColumnRenamed("_md5", "_m"), F.col("_md5").eqNullSafe(F.col("_m"))
-                      & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_md5"]).drop("_md5")
+    keyed = docs.select("*", _key(F.col(id_col), "_id"), _key(F.md5(F.col(text).cast("binary")), "_md5"))
+    once = keyed.dropDuplicates(["_id", "_md5"])
+    return once.join(best, ["_id", "_md5"], "left_semi").select(*docs.columns)
+
+
+def _key(value: Column, name: str) -> Column:
+    """A value as text that is never null, null told from all others."""
+    return F.when(value.isNull(), "").otherwise(F.concat(F.lit("="), value.cast("string"))).alias(name)
