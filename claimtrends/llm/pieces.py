@@ -30,8 +30,11 @@ from .words import prefix_hash, raw_hash, span_hash
 #: Score of a byte piece, which stands for a sign that has no piece, and uncommitted signs at
 #: which convergence is looked for.
 BYTE_SCORE, CHECK = -25.0, 64
-#: Bytes of a word that is solved side by side with others; longer ones are streamed.
-SHORT = 96
+#: Bytes of a word that is solved side by side with others; longer ones are streamed. Bytes of
+#: different words that are solved at once: their edges take some hundred times as many.
+SHORT, AT_ONCE = 96, 300_000
+#: Text bytes of a step.
+STEP = 1_500_000
 
 SPACE = "\u2581"  # a space in pieces
 
@@ -289,11 +292,14 @@ def encode(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
         odd |= np.searchsorted(literal, begin) < np.searchsorted(literal, end)
     count, plain = np.zeros(len(begin), np.int64), np.flatnonzero(~odd)
     size = (end - begin)[plain]
-    words = led[_spans(begin[plain], size)]
-    flat, count[plain] = encode_words(model, words, np.concatenate([[0], np.cumsum(size)]))
-    base = np.zeros(len(begin), np.int64)
-    base[plain] = np.cumsum(count[plain]) - count[plain]
-    parts, held = [flat], len(flat)
+    parts, held, base = [np.zeros(0, np.int32)], 0, np.zeros(len(begin), np.int64)
+    for part in steps(size, AT_ONCE):
+        own, sizes = plain[part], size[part]
+        words = led[_spans(begin[own], sizes)]
+        flat, count[own] = encode_words(model, words, np.concatenate([[0], np.cumsum(sizes)]))
+        base[own] = held + np.cumsum(count[own]) - count[own]
+        parts.append(flat)
+        held += len(flat)
     for i in np.flatnonzero(odd).tolist():
         ids = encode_word(model, raw[begin[i]: end[i]])
         parts.append(np.array(ids, np.int32))
@@ -332,7 +338,7 @@ def encoded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         column, lists, exact = batch.column(at), [], []
         data, offsets = utf8(column)
-        for part in steps(np.diff(offsets)):
+        for part in steps(np.diff(offsets), STEP):
             own = offsets[part.start: part.stop + 1]
             body, own = data[own[0]: own[-1]], own - own[0]
             ids, of = encode(model, body, own)
