@@ -240,13 +240,15 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", found: DataFrame | None = None,
+) -> DataFrame:
     """The documents, one of each near-duplicate component: the smallest id, then the smallest md5.
 
-    Rows equal in both are one document and stay once. A document without near-duplicates stays.
+    ``found`` has the columns of ``near_duplicates``, which is taken without it. Rows equal in both are one document and stay once. A document without near-duplicates stays.
     Texts are shuffled once, by id and md5, after equal rows of a task have become one.
     """
-    found = near_duplicates(docs, id_col, text)
+    found = near_duplicates(docs, id_col, text) if found is None else found
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("md5"))).alias("best")
     best = found.groupBy(group.alias("g")).agg(best).select("best.doc_id", "best.md5")
