@@ -297,20 +297,22 @@ def _spans(labels: list[str], best: np.ndarray) -> list[dict]:
 
 def identify(
     docs: DataFrame, model: Model | None, text: str = "text", spans: bool = False,
-    names: tuple[str, str] = ("lang_pred", "score"),
+    names: tuple[str, str] = ("lang_pred", "score"), certainty: str | None = None,
 ) -> DataFrame:
     """The columns of ``docs`` and lang_pred and score; columns of these ``names`` are replaced.
 
     lang_pred is the label with the largest summed posterior over a text's words, score its mean
     posterior. A null text, one without a letter, and every text without a model get ``und`` and 0.
-    ``spans`` adds the runs of words, by number from 0, whose likeliest labels agree.
+    ``spans`` adds the runs of words, by number from 0, whose likeliest labels agree; ``certainty``
+    names a column for the mean of each word's largest posterior, 0 where the score is 0.
     """
-    docs = docs.drop(*names, *["lang_spans"] * spans)
-    at, out_names = docs.columns.index(text), [*docs.columns, *names, *["lang_spans"] * spans]
+    more = [certainty] if certainty else []
+    docs = docs.drop(*names, *["lang_spans"] * spans, *more)
+    at, out_names = docs.columns.index(text), [*docs.columns, *names, *["lang_spans"] * spans, *more]
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column, langs, scores, found = batch.column(at), [], [], []
+        column, langs, scores, found, sure = batch.column(at), [], [], [], []
         data, offsets = utf8(column)
         for part in steps(np.diff(offsets)):
             own = offsets[part.start: part.stop + 1]
@@ -327,6 +329,8 @@ def identify(
             mean = np.clip(total[np.arange(n), best] / np.maximum(count, 1), 0, 1)
             edge = np.searchsorted(text_of, np.arange(n + 1))
             likeliest = post.argmax(1)
+            if more:
+                clear = np.bincount(text_of, post.max(1), n) / np.maximum(count, 1)
             for i in range(n):
                 there = count[i] > 0
                 if there:
@@ -334,14 +338,18 @@ def identify(
                     there = bool(_ASCII[body].any()) or bool(_LETTER.search(body.tobytes().decode()))
                 langs.append(labels[best[i]] if there else UNKNOWN)
                 scores.append(float(mean[i]) if there else 0.0)
+                if more:
+                    sure.append(float(min(clear[i], 1)) if there else 0.0)
                 if spans:
                     found.append(_spans(labels, likeliest[edge[i]: edge[i + 1]]) if there else [])
         new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[pa.array(found, kind)] * spans]
+        new += [pa.array(sure, pa.float64())] * len(more)
         return pa.RecordBatch.from_arrays([*batch.columns, *new], out_names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     fields += [f"`{names[0]}` string", f"`{names[1]}` double"]
     fields += ["lang_spans array<struct<first:int,last:int,lang:string>>"] * spans
+    fields += [f"`{name}` double" for name in more]
     return by_batch(docs, work, ", ".join(fields))
 
 
