@@ -114,3 +114,12 @@ def test_columns_nulls_repeats_and_errors(llm):
     with pytest.raises(Exception, match="not in the model"):
         pieces.decoded(llm.createDataFrame([([40_000],)], "ids array<int>"), MODEL).collect()
     assert np.all(np.diff(sorted(i for _, i in MODEL.pieces.values())) > 0)
+
+
+def test_both_paths_give_the_same_ids_over_a_table(llm, monkeypatch):
+    texts = [r.text for r in llm.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    data, offsets = utf8(pa.array(texts, pa.large_string()))
+    ids, ends = pieces.encode(MODEL, data, offsets)
+    monkeypatch.setattr(pieces, "SHORT", 0)
+    streamed, same_ends = pieces.encode(MODEL, data, offsets)
+    assert len(ids) and np.array_equal(ids, streamed) and np.array_equal(ends, same_ends)
