@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontaminate, maxscore, mixing, pieces, quality, repeats, ring, secrets, simhash, warc
+from . import crf, decontaminate, maxscore, mixing, pieces, quality, repeats, ring, runs, secrets, simhash, warc
 from .common import prepare
 
 
@@ -81,6 +81,10 @@ def op10_ring(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.detect(_table(spark, folder, "documents"), change=runs.planted)
+
+
 def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_ring": op10_ring,
+    "op12_runs": op12_runs,
     "op13_mixing": op13_mixing,
 }
 
