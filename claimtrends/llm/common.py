@@ -71,9 +71,10 @@ class Stages:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+        """The stored table; ``rows`` is how many rows a file has at most, 0 for any number."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
         schema, self.paths[name] = df.schema, path
         del df
         self.settle()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontaminate, maxscore, mixing, pieces, quality, repeats, ring, runs, secrets, simhash, warc
+from . import crf, decontaminate, maxscore, mixing, negatives, pieces, quality, repeats, ring, runs, secrets, simhash, warc
 from .common import prepare
 
 
@@ -81,6 +81,13 @@ def op10_ring(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.quantised(rows.withColumn("label", moved))
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.detect(_table(spark, folder, "documents"), change=runs.planted)
 
@@ -101,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": op8_maxscore,
     "op9_warc": op9_warc,
     "op10_ring": op10_ring,
+    "op11_negatives": op11_negatives,
     "op12_runs": op12_runs,
     "op13_mixing": op13_mixing,
 }
@@ -152,4 +160,26 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f
     """,
+    "op11_negatives": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q,
+                   CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                   list_dot_product(a.q, b.q)::BIGINT AS score
+            FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) a
+            JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+        positive AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id,
+               (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN scored USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5
+    """,
 }
