@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimtrends.llm import crf, decontaminate, jaccard, pieces, secrets, simhash
+from claimtrends.llm import crf, decontaminate, pieces, secrets, simhash
 from claimtrends.llm.common import Stages, prepare
 
 #: A document is rejected where the largest posteriors of its words have a lower mean.
@@ -32,9 +32,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those that a five-word similarity of 0.8 or more links."""
+    """One document of each group of near-duplicates stays: the smallest id, then the smallest md5.
+
+    Groups are those of the SimHash operator, 64 bits over shingles of three words, linked at three
+    differing bits or fewer. Null texts and texts without words have fingerprint zero and are one group;
+    a null id comes after all others, and rows equal in id and text are one document.
+    """
     prepare(spark)
-    return simhash.keep_one(docs, found=jaccard.near_duplicates(docs))
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
