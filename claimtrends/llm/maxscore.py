@@ -5,8 +5,8 @@ shard's postings are its columns, and the least and largest value of a column bo
 can add. Terms are ordered by the room between their bounds. Those at the end are non-essential:
 a vector that adds the least on all the others could not reach the query's current k-th score
 with them. Essential columns are traversed for the whole shard; the others are probed a few at a
-time for the vectors that their bounds still leave competitive. Each partition keeps k rows a
-query, and these are merged.
+time for the vectors that their bounds still leave competitive. The scores held go on from shard
+to shard of a lane; each lane keeps k rows a query, and these are merged.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stages
+from .lanes import SHARDS_PER_LANE, matrix, meet, pack, stored
 
-#: Queries that one pass over the vectors takes along, vectors of a shard, columns of one probe.
-QUERIES_PER_PASS, SHARD, PROBE = 2_048, 8_192, 8
+#: Queries of a block, vectors of a shard, columns of one probe.
+QUERIES_PER_BLOCK, SHARD, PROBE = 2_048, 4_096, 8
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -37,11 +38,12 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
 
 
 def search(
-    postings: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int,
+    postings: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int,
     scores: np.ndarray, best: np.ndarray, top: int,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The best (scores, ids) of those held and of one shard; ``postings`` holds a row per term."""
-    low, high = postings.min(1) * query, postings.max(1) * query
+    """The best (scores, ids) of those held and of one shard; ``postings`` holds a row per term,
+    ``low`` and ``high`` the bounds of each."""
+    low, high = low * query, high * query
     least, most = np.minimum(low, high), np.maximum(low, high)
     order = np.argsort(least - most, kind="stable")
     rest = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0]])
@@ -65,21 +67,60 @@ def search(
     return scores[rank], best[rank]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held, n = [], 0
-    for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        rows = np.flatnonzero(lengths == width)
-        if len(rows):
-            flat = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-            held.append((ids.to_numpy(zero_copy_only=False)[rows], flat.reshape(len(rows), width)))
-            n += len(rows)
-        if n >= SHARD:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, n = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def _bounds(vectors: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+    return {"low": vectors.min(0), "high": vectors.max(0)}
+
+
+class Shard:
+    """A packed shard: its postings, a row per term, and the bounds of each."""
+
+    def __init__(self, row: dict):
+        self.ids = matrix(row, "ids")
+        own = matrix(row, "v").reshape(len(self.ids), row["width"]).T
+        self.longs, self.floats = own, np.ascontiguousarray(own, np.float64)
+        self.low, self.high = matrix(row, "low"), matrix(row, "high")
+        self.most = max(float(np.abs(self.low).max(initial=0)), float(np.abs(self.high).max(initial=0)))
+
+    def search(
+        self, query: np.ndarray, own: int, scores: np.ndarray, best: np.ndarray, top: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` in a type in which the query's products are exact."""
+        limit = self.most * float(np.abs(query).max(initial=0)) * len(query)
+        if limit >= 2**62:
+            raise ValueError("inner products do not fit a long")
+        exact = limit < 2**52
+        kind = np.float64 if exact else np.int64
+        return search(self.floats if exact else self.longs, self.low.astype(kind), self.high.astype(kind),
+                      self.ids, query.astype(kind), own, scores, best, top)
+
+
+def _searched(pairs: Iterator[tuple[dict, dict]], top: int) -> Iterator[pa.RecordBatch]:
+    """The best of a block's queries; their k-th scores are carried on while the block stays."""
+    block, ids, queries, held, shards = None, [], [], [], {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        count = [len(s) for s, _ in held]
+        if sum(count):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(ids, count), pa.int64()),
+                pa.array(np.concatenate([b for _, b in held]), pa.int64()),
+                pa.array(np.concatenate([s for s, _ in held]).astype(np.int64)),
+            ], ["query_id", "vec_id", "score"])
+
+    for own, row in pairs:
+        if own["pack"] != block:
+            yield from told()
+            block, ids = own["pack"], matrix(own, "ids")
+            queries = matrix(own, "v").reshape(len(ids), own["width"])
+            held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        shard = shards.get(row["pack"])
+        if shard is None:
+            if len(shards) >= SHARDS_PER_LANE:
+                shards.clear()
+            shard = shards[row["pack"]] = Shard(row)
+        for i, own_id in enumerate(ids):
+            held[i] = shard.search(queries[i], own_id, *held[i], top)
+    yield from told()
 
 
 def top_k(
@@ -89,46 +130,19 @@ def top_k(
 
     Both frames are (vec_id, v) as ``quantised`` makes them. A query meets the vectors of its own
     length, but rows of its own id; equal scores rank by vec_id. Repeated vectors are ranked each;
-    a repeated query row is answered once. The queries are a stated set: they go to all vectors
-    in blocks of a fixed number, and what a partition returns is bounded by block and ``top``.
+    a repeated query row is answered once. Vectors are read and packed into shards once, and the
+    queries, a stated set, into blocks; a lane of shards returns ``top`` rows for each query.
     Products that might not fit a long are an error. An empty side gives an empty result.
     """
-    spark, stages = vectors.sparkSession, Stages(vectors.sparkSession, "maxscore")
-    queries = stages.save(queries.groupBy("vec_id", "v").count().drop("count"), "queries")
-    schema = "query_id long, vec_id long, score long"
-    widths = [(r.width, r.n) for r in queries.groupBy(F.size("v").alias("width")).agg(
-        F.count(F.lit(1)).alias("n")).orderBy("width").collect()]
-    found = None
-    for width, n in widths:
-        blocks = -(-n // QUERIES_PER_PASS)
-        for block in range(blocks):
-            own = queries.where((F.size("v") == width) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
-            rows = own.orderBy("vec_id", "v").collect()
-            ids = [r.vec_id for r in rows]
-            terms = np.array([r.v for r in rows], np.int64).reshape(len(rows), width)
-
-            def run(batches: Iterator[pa.RecordBatch], ids: list = ids, terms: np.ndarray = terms, width: int = width) -> Iterator[pa.RecordBatch]:
-                held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-                for shard_ids, shard in _shards(batches, width):
-                    limit = float(np.abs(terms).max(initial=0)) * float(np.abs(shard).max(initial=0)) * width
-                    if limit >= 2**62:
-                        raise ValueError("inner products do not fit a long")
-                    kind = np.float64 if limit < 2**52 else np.int64
-                    postings = np.ascontiguousarray(shard.T, kind)
-                    for i, own_id in enumerate(ids):
-                        held[i] = search(postings, shard_ids, terms[i].astype(kind), own_id, *held[i], top)
-                count = [len(s) for s, _ in held]
-                if sum(count):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(ids, count), pa.int64()),
-                        pa.array(np.concatenate([b for _, b in held]), pa.int64()),
-                        pa.array(np.concatenate([s for s, _ in held]).astype(np.int64)),
-                    ], ["query_id", "vec_id", "score"])
-
-            part = vectors.mapInArrow(run, schema)
-            found = part if found is None else found.unionAll(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    stages = Stages(vectors.sparkSession, "maxscore")
+    bare = F.lit(0).cast("long").alias("label")
+    fields = {"low": np.int64, "high": np.int64}
+    shards = stored(pack(vectors.select("vec_id", "v", bare), SHARD, _bounds, fields, "s"), stages, "shards")
+    once = stages.save(queries.groupBy("vec_id", "v").count().select("vec_id", "v", bare), "queries")
+    parts = max(1, -(-once.count() // QUERIES_PER_BLOCK))
+    dealt = once.repartition(parts, F.xxhash64("vec_id", "v"))
+    blocks = stored(pack(dealt, QUERIES_PER_BLOCK, lambda v, labels: {}, {}, "q"), stages, "blocks")
+    found = meet(blocks, shards, lambda pairs: _searched(pairs, top), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")

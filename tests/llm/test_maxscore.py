@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from claimtrends.llm import maxscore
+from claimtrends.llm import lanes, maxscore
 
 
 def plain(ids, vectors, queries, top):
@@ -26,7 +26,9 @@ def test_equals_brute_force(llm, monkeypatch, kind):
     if kind == "clusters":
         x = x[rng.integers(0, 12, 900)] + 0.05 * x
     monkeypatch.setattr(maxscore, "SHARD", 100)
-    monkeypatch.setattr(maxscore, "QUERIES_PER_PASS", 7)
+    monkeypatch.setattr(maxscore, "QUERIES_PER_BLOCK", 7)
+    monkeypatch.setattr(lanes, "LANES", 2)
+    monkeypatch.setattr(lanes, "SHARDS_PER_LANE", 3)
     frame = llm.createDataFrame(pd.DataFrame({"vec_id": list(range(900)), "embedding": x.tolist()})).repartition(3)
     vectors = maxscore.quantised(frame)
     got = sorted(map(tuple, maxscore.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()))
@@ -51,3 +53,18 @@ def test_products_beyond_a_long_are_an_error(llm):
     vectors = maxscore.quantised(frame)
     with pytest.raises(Exception, match="do not fit"):
         maxscore.top_k(vectors, vectors).collect()
+
+
+def test_plan_and_driver_do_not_grow_with_queries(llm, monkeypatch):
+    """The same jobs for three queries as for many blocks, and no rows on the driver."""
+    rng = np.random.default_rng(2)
+    frame = llm.createDataFrame(pd.DataFrame({"vec_id": range(400), "embedding": rng.normal(size=(400, 8)).tolist()}))
+    vectors = maxscore.quantised(frame)
+    monkeypatch.setattr(maxscore, "QUERIES_PER_BLOCK", 8)
+    shapes = []
+    for every in (200, 2):
+        found = maxscore.top_k(vectors, vectors.where(f"vec_id % {every} = 0"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        shapes.append((plan.count("Join"), plan.count("Relation"), plan.count("MapInArrow"), plan.count("Union")))
+        assert found.count() == 5 * (400 // every)
+    assert shapes[0] == shapes[1] == (1, 2, 1, 0)
