@@ -126,11 +126,36 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows: those whose key hashes lowest. Of rows with one key any may stay.
+def sampled(
+    df: DataFrame, key: str, rows: int, text: str | None = None, most: int | None = None
+) -> DataFrame:
+    """At most ``rows`` rows with a key: those whose key hashes lowest.
 
-    The cut is found on hashes alone, so only the sample's own rows meet in a task.
+    With ``text`` one row stays of each key, of the text whose md5 is least, however often it is
+    repeated, and ``most`` bounds the bytes of all texts together: rows are added in the order of
+    their hashes up to the first that would go beyond, so no text is cut. The sample is the same
+    in whatever order the rows come. The cut is found on hashes, keys and sizes alone.
     """
     place = F.xxhash64(F.col(key).cast("string"))
-    cut = df.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place")).first()[0]
-    return df.limit(0) if cut is None else df.where(place <= cut).limit(rows)
+    keyed = df.where(F.col(key).isNotNull())
+    if text is None:
+        cut = keyed.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place")).first()[0]
+        return df.limit(0) if cut is None else keyed.where(place <= cut).limit(rows)
+    size, digest = F.octet_length(F.coalesce(F.col(text), F.lit(""))), F.md5(F.col(text).cast("binary"))
+    names = ["place", "key", "digest", "size"]
+    slim = keyed.select(*[c.alias(n) for c, n in zip((place, F.col(key).cast("string"), digest, size), names, strict=True)])
+    once = slim.groupBy("place", "key").agg(F.min(F.struct("digest", "size")).alias("own"))
+    first = once.orderBy("place", "key").limit(rows).select("place", "key", "own.digest", "own.size").collect()
+    chosen, total = [], 0
+    for r in sorted(first, key=lambda r: (r.place, r.key)):
+        total += r.size
+        if most is not None and total > most:
+            break
+        chosen.append((r.key, r.digest))
+    if not chosen:
+        return df.limit(0)
+    last = max(r.place for r in first)
+    wanted = df.sparkSession.createDataFrame(chosen, "_key string, _digest string")
+    here = keyed.where(place <= last)
+    met = here.join(F.broadcast(wanted), (F.col(key).cast("string") == F.col("_key")) & digest.eqNullSafe(F.col("_digest")))
+    return met.dropDuplicates(["_key"]).drop("_key", "_digest")

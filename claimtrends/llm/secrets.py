@@ -2,8 +2,10 @@
 
 Credentials of each kind are put into a prefix tree, and states whose relative frequencies are
 statistically compatible are merged, which leaves a small probabilistic automaton of the format.
-A further automaton is inferred from ordinary tokens. All long tokens are then scored by the odds
-of the formats against the ordinary; those as likely as the labelled ones are secrets too.
+A further automaton is inferred from ordinary tokens. Every token that a labelled value could be
+is then scored by the odds of the formats against the ordinary; those as likely as the labelled ones
+are secrets too. What a state has seen is smoothed towards even odds, so that a format known from a
+few credentials says less than one known from many; no number of them is too small.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import statistics
 from collections import defaultdict
 from typing import NamedTuple
 
@@ -30,30 +33,38 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "format")
 
-#: Tokens that are scored, and the longest piece of one that an automaton is inferred from.
-TOKEN, LONGEST = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), 64
-#: Credentials of a kind and documents with ordinary tokens that are learned from at most;
-#: fewer distinct credentials than LEAST give no automaton.
-CREDENTIALS, ORDINARY, LEAST = 400, 1_000, 20
-#: Level of the merge test, and smoothing of symbols a state has not seen.
-ALPHA, UNSEEN = 0.05, 1e-4
-#: Least odds, in nats, and the share of labelled credentials that the bar lets go.
-ODDS, SHARE = 12.0, 0.02
+#: Tokens that are scored: runs of the signs that a labelled value may have, of its least length;
+#: so are a run's pieces between '=', without dots around, and their pieces between dots.
+TOKEN, SPLIT, DOTS = re.compile(r"[A-Za-z0-9+/_.=-]{8,}"), re.compile("[^=]{8,}"), re.compile("[^.]{8,}")
+#: Different credentials of a kind, and documents with ordinary tokens, that are learned from at
+#: most, and the longest values taken into that sample; they are learned and scored whole.
+CREDENTIALS, ORDINARY, SAMPLED = 400, 1_000, 4_096
+#: Level of the merge test, the weight of even odds over so many signs and the end, and the share of
+#: a state's probability left for what it has not seen, the same in all automata.
+ALPHA, EVEN, SIGNS, REST = 0.05, 1.0, 68, 0.02
+UNSEEN = math.log(REST / SIGNS)
+#: Least odds, in nats; how many deviations of the labelled credentials' odds the bar lies below
+#: their mean, and the least deviation, as a share of the mean.
+ODDS, BELOW, LEAST_SPREAD = 12.0, 3.0, 0.05
+#: Tokens that a task remembers the outcome of, and their length at most.
+_KNOWN, _KNOWN_LENGTH = 50_000, 64
 
 _WORDS = ("passw", "secret", "token", "api")
 
 
 class Automaton(NamedTuple):
-    """Per state: log probability to end, and of each symbol with the state it leads to."""
+    """Per state: log probability to end, and of each symbol with the state it leads to.
+
+    A symbol that a state has not seen has UNSEEN and leads to the first state.
+    """
 
     end: list[float]
     moves: list[dict[str, tuple[float, int]]]
-    unseen: float
 
     def log_likelihood(self, token: str) -> float:
-        state, total = 0, 0.0
+        state, total, unseen = 0, 0.0, (UNSEEN, 0)
         for symbol in token:
-            p, state = self.moves[state].get(symbol, (self.unseen, 0))
+            p, state = self.moves[state].get(symbol, unseen)
             total += p
         return total + self.end[state]
 
@@ -133,14 +144,29 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
             edges[parent][symbol][0] = same
             fold(same, state)
     number = {state: i for i, state in enumerate(kept)}
-    log = lambda x, n: math.log(max(x / max(n, 1), UNSEEN))
+    log = lambda x, n: max(UNSEEN, math.log((1 - REST) * (x + EVEN / SIGNS) / (n + EVEN)))
     return Automaton(
         [log(ends[a], count[a]) for a in kept],
         [{s: (log(t, count[a]), number[b]) for s, (b, t) in edges[a].items()} for a in kept],
-        math.log(UNSEEN),
     )
 
 
+def learned(strings: list[str], ordinary: Automaton) -> tuple[Automaton, float]:
+    """An automaton of one kind's credentials, and the odds from which on a token has its format.
+
+    The bar follows from the odds of all credentials in an automaton inferred from the other half of
+    them, a single one's from its own.
+    """
+    own = infer(strings)
+    halves = [strings[::2], strings[1::2]] if len(strings) > 1 else [strings, strings]
+    odds = []
+    for fitted, held in (halves, halves[::-1]):
+        other = infer(fitted)
+        odds += [other.log_likelihood(s) - ordinary.log_likelihood(s) for s in held]
+    mean = statistics.fmean(odds)
+    return own, max(ODDS, mean - BELOW * max(statistics.pstdev(odds), LEAST_SPREAD * mean))
+
+
 def base(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind number, end, start of the value) of what the fixed patterns match."""
     found, low = [], text.lower() if text.isascii() else text.casefold()
@@ -153,25 +179,50 @@ def base(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
-def _odds(formats: Formats, token: str) -> bool:
+def margin(formats: Formats, token: str) -> float:
+    """How far the odds of the token's likeliest format lie above its bar."""
     ordinary = formats.ordinary.log_likelihood(token)
-    return any(a.log_likelihood(token) - ordinary >= bar for a, bar in formats.kinds.values())
+    return max(a.log_likelihood(token) - ordinary - bar for a, bar in formats.kinds.values())
+
+
+def parts(formats: Formats, token: str) -> list[tuple[int, int]]:
+    """(start, end) of the secrets in a token: the whole, or pieces one of which has a larger margin."""
+    return _parts(formats, token, 0)[1]
+
+
+def _parts(formats: Formats, token: str, level: int) -> tuple[float, list[tuple[int, int]]]:
+    """The largest margin and the spans; pieces lie between '=' first, then between dots."""
+    whole, found, best = margin(formats, token), [], -math.inf
+    for m in (SPLIT, DOTS)[level].finditer(token) if level < 2 else ():
+        piece = m.group().strip(".")
+        if ASSIGN_LEAST <= len(piece) < len(token) or level == 0 and len(piece) == len(token):
+            first = m.start() + m.group().find(piece)
+            own, spans = _parts(formats, piece, level + 1)
+            best = max(best, own)
+            found += [(first + a, first + b) for a, b in spans]
+    if found and best >= whole:
+        return best, found
+    return whole, [(0, len(token))] if whole >= 0 else []
 
 
-def scan(text: str, formats: Formats | None, known: dict[str, bool]) -> list[tuple]:
+def scan(text: str, formats: Formats | None, known: dict[str, list]) -> list[tuple]:
     """Spans of ``base``, and of other tokens that have a format, sorted by start and kind."""
     found = base(text)
     if formats and formats.kinds:
-        more = []
+        more, taken = [], [(s, e) for s, _, e, _ in found]
         for m in TOKEN.finditer(text):
             token = m.group()
-            hit = known.get(token)
-            if hit is None:
-                if len(known) > 50_000:
-                    known.clear()
-                hit = known[token] = _odds(formats, token)
-            if hit and not any(s < m.end() and m.start() < e for s, _, e, _ in found):
-                more.append((m.start(), 3, m.end(), m.start()))
+            hits = known.get(token)
+            if hits is None:
+                hits = parts(formats, token)
+                if len(token) <= _KNOWN_LENGTH:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[token] = hits
+            for a, b in hits:
+                a, b = a + m.start(), b + m.start()
+                if not any(s < b and a < e for s, e in taken):
+                    more.append((a, 3, b, a))
         found = sorted(found + more)
     return found
 
@@ -179,15 +230,16 @@ def scan(text: str, formats: Formats | None, known: dict[str, bool]) -> list[tup
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Formats:
     """Formats of the credentials in ``docs`` that the patterns label.
 
-    Learned from at most CREDENTIALS distinct credentials of each kind, and from the tokens of at
-    most ORDINARY documents without any; both are those that hash lowest.
+    Learned from at most CREDENTIALS different credentials of each kind, and from the tokens of at
+    most ORDINARY documents without any; both are those that hash lowest. Values of more than
+    SAMPLED characters are not learned from. A table without credentials has no formats.
     """
     stages = Stages(docs.sparkSession, "secrets")
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = set()
         for t in batch.column(0).to_pylist():
-            rows |= {(KINDS[kind], t[at:end]) for _, kind, end, at in base(t or "")}
+            rows |= {(KINDS[kind], t[at:end]) for _, kind, end, at in base(t or "") if end - at <= SAMPLED}
         rows = sorted(rows)
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"]
@@ -198,25 +250,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Formats:
     kinds = {}
     for kind in KINDS[:3]:
         rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(CREDENTIALS)
-        kinds[kind] = sorted({r.value[:LONGEST] for r in rows.collect()})
+        kinds[kind] = [r.value for r in rows.collect()]
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = set()
         for t in batch.column(0).to_pylist():
             if t and not base(t):
-                rows |= {m.group()[:LONGEST] for m in TOKEN.finditer(t)}
+                rows |= {m.group() for m in TOKEN.finditer(t) if len(m.group()) <= SAMPLED}
         return pa.RecordBatch.from_arrays([pa.array(sorted(rows), pa.string())], ["value"])
 
-    some = sampled(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id", ORDINARY)
+    some = sampled(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id", ORDINARY, "text")
     plain = by_batch(some.select("text"), tokens, "value string").distinct()
     plain = [r.value for r in plain.orderBy(F.xxhash64("value"), "value").limit(4 * CREDENTIALS).collect()]
-    ordinary, out = infer(sorted(plain)), {}
-    for kind, strings in kinds.items():
-        if len(strings) >= LEAST:
-            automaton = infer(strings)
-            odds = sorted(automaton.log_likelihood(s) - ordinary.log_likelihood(s) for s in strings)
-            out[kind] = automaton, max(ODDS, odds[int(SHARE * len(odds))])
-    return Formats(out, ordinary)
+    ordinary = infer(sorted(plain))
+    return Formats({kind: learned(strings, ordinary) for kind, strings in kinds.items() if strings}, ordinary)
 
 
 def find(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +276,7 @@ def find(docs: DataFrame, formats: Formats | None, id_col: str = "doc_id", text:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    known: dict[str, bool] = {}
+    known: dict[str, list] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = defaultdict(list)

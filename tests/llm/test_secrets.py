@@ -43,12 +43,11 @@ def test_inference_recovers_a_format():
     fresh = ["KEY-" + "".join(rng.choices("0123456789abcdef", k=24)) for _ in range(50)]
     assert min(map(odds, fresh)) > max(map(odds, words)) + 20
     total = sum(2.718281828 ** p for p, _ in found.moves[0].values()) + 2.718281828 ** found.end[0]
-    assert total == pytest.approx(1, abs=0.01)
+    assert total == pytest.approx(1 - secrets.REST, abs=0.01)
 
 
 def test_query_keeps_the_base_and_adds_formats(llm):
     docs = {r.doc_id: r.text for r in llm.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    added = 0
     for r in QUERIES["op6_secrets"](llm, SMALL).collect():
         told = [(s, k, e) for s, k, e in plain(docs[r.doc_id])]
         names = [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in told]
@@ -56,12 +55,86 @@ def test_query_keeps_the_base_and_adds_formats(llm):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in told) for i in range(3))
         spans = r.spans.split(",") if r.spans else []
         assert [s for s in spans if not s.startswith("format")] == names
-        for s in spans:
-            kind, start, end = s.split(":")
-            if kind == "format":
-                added += 1
-                assert re.fullmatch(r"[0-9A-Fa-f]{16,}", docs[r.doc_id][int(start):int(end)])
-    assert added < 60
+
+
+def plain_formats(text, formats):
+    """Every candidate's likelihood, letter by letter, in all automata; no memory of tokens."""
+    def odds(token):
+        def walk(a):
+            state, total = 0, 0.0
+            for c in token:
+                p, state = a.moves[state].get(c, (secrets.UNSEEN, 0))
+                total += p
+            return total + a.end[state]
+        return max(walk(a) - walk(formats.ordinary) - bar for a, bar in formats.kinds.values())
+
+    base, out = plain(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", text or ""):
+        levels = [(odds(m.group()), [m.span()])]
+        options = []  # of each piece: itself, or those between its dots
+        for p in re.finditer(r"[^=.](?:[^=]{6,}[^=.])", m.group()):
+            a = m.start() + p.start()
+            own = odds(p.group())
+            dots = [(odds(d.group()), (a + d.start(), a + d.end())) for d in re.finditer(r"[^.]{8,}", p.group()) if "." in p.group()]
+            hits = [x for x in dots if x[0] >= 0]
+            if hits and max(x[0] for x in dots) >= own:
+                options.append((max(x[0] for x in dots), [x[1] for x in hits]))
+            else:
+                options.append((own, [(a, a + len(p.group()))] if own >= 0 else []))
+        spans = [x for _, o in options for x in o]
+        if spans and max(o[0] for o in options) >= levels[0][0]:
+            chosen = spans
+        else:
+            chosen = levels[0][1] if levels[0][0] >= 0 else []
+        out += [(a, 3, b) for a, b in chosen if not any(s < b and a < e for s, _, e in base)]
+    return [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + out)]
+
+
+def keyed(n, make, doc=0):
+    """Rows with one labelled credential each, and ordinary rows."""
+    rows = [(doc + i, f"use secret = {make(i)} for it") for i in range(n)]
+    return rows + [(doc + 10_000 + i, f"ordinarywords{i % 9} follow without anything.special-or{i % 5}other") for i in range(60)]
+
+
+FORMATS = {
+    "short": lambda rng: "k" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=11)),
+    "dotted": lambda rng: ".".join("".join(rng.choices("XYZW0123456789", k=6)) for _ in range(3)),
+    "long": lambda rng: "".join(rng.choices("ghijklmn", k=64)) + "".join(rng.choices("GHJKLM", k=60)),
+}
+
+
+@pytest.mark.parametrize("name", FORMATS)
+@pytest.mark.parametrize("count", [5, 19, 200])
+def test_formats_are_learned_whole_from_any_number(llm, name, count):
+    rng = random.Random(5)
+    make = FORMATS[name]
+    rows = keyed(count, lambda i: make(rng))
+    fit = secrets.fit(llm.createDataFrame(rows, "doc_id long, text string"))
+    fresh = [make(rng) for _ in range(40)]
+    docs = [(i, f"lone {x} there, x={x}. ordinarywords{i} something.else-again") for i, x in enumerate(fresh)]
+    docs += llm.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text").collect()
+    found = {r.doc_id: r.spans for r in secrets.find(llm.createDataFrame(docs, "doc_id long, text string"), fit).collect()}
+    assert found == {i: ",".join(plain_formats(t, fit)) for i, t in docs}
+    size = len(fresh[0])
+    hit = 0
+    for i in range(40):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s]
+        hit += len(spans) == 2 and spans[0] == (5, 5 + size) and spans[1][0] <= 15 + size and spans[1][1] >= 15 + 2 * size
+    assert hit >= (38 if count >= 19 else 30)
+    if name == "long":
+        half = fresh[0][:64]
+        assert secrets.parts(fit, half) == [] and secrets.parts(fit, fresh[0]) == [(0, 124)]
+
+
+def test_one_id_on_all_rows_and_very_long_values(llm):
+    rng = random.Random(8)
+    rows = [(7, t) for _, t in keyed(30, lambda i: FORMATS["short"](rng))] + [(7, "token=" + "ab" * 2_000_000)]
+    frame = llm.createDataFrame(rows, "doc_id long, text string")
+    fit = secrets.fit(frame)
+    assert fit == secrets.fit(frame.repartition(5, "text"))
+    lone = FORMATS["short"](rng)
+    docs = llm.createDataFrame([(1, f"see {lone} now"), (2, "zq" * 2_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.find(docs, fit).collect()} == {1: "format:4:16", 2: ""}
 
 
 def test_unlabelled_tokens_of_a_format_are_found_and_redacted(llm):
