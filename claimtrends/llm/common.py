@@ -126,36 +126,35 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def sampled(
-    df: DataFrame, key: str, rows: int, text: str | None = None, most: int | None = None
-) -> DataFrame:
-    """At most ``rows`` rows with a key: those whose key hashes lowest.
-
-    With ``text`` one row stays of each key, of the text whose md5 is least, however often it is
-    repeated, and ``most`` bounds the bytes of all texts together: rows are added in the order of
-    their hashes up to the first that would go beyond, so no text is cut. The sample is the same
-    in whatever order the rows come. The cut is found on hashes, keys and sizes alone.
+def sampled(df: DataFrame, key: str, rows: int, text: str, most: int | None = None) -> DataFrame:
+    """At most ``rows`` rows, one of each key, those whose keys hash lowest.
+
+    Of rows with one key, however many, that stays whose text has the least md5, then the least hash
+    of all columns; a null key is a key. ``most`` bounds the bytes of the texts together: rows are
+    taken in the order of their hashes, and one that no longer fits is passed over, so no text is cut.
+    The sample is the same in whatever order the rows come. Only hashes, keys and sizes of about as
+    many rows are grouped and sent to the driver; the texts of the sample alone move.
     """
-    place = F.xxhash64(F.col(key).cast("string"))
-    keyed = df.where(F.col(key).isNotNull())
-    if text is None:
-        cut = keyed.select(place.alias("place")).orderBy("place").limit(rows).agg(F.max("place")).first()[0]
-        return df.limit(0) if cut is None else keyed.where(place <= cut).limit(rows)
-    size, digest = F.octet_length(F.coalesce(F.col(text), F.lit(""))), F.md5(F.col(text).cast("binary"))
-    names = ["place", "key", "digest", "size"]
-    slim = keyed.select(*[c.alias(n) for c, n in zip((place, F.col(key).cast("string"), digest, size), names, strict=True)])
-    once = slim.groupBy("place", "key").agg(F.min(F.struct("digest", "size")).alias("own"))
-    first = once.orderBy("place", "key").limit(rows).select("place", "key", "own.digest", "own.size").collect()
-    chosen, total = [], 0
-    for r in sorted(first, key=lambda r: (r.place, r.key)):
-        total += r.size
-        if most is not None and total > most:
+    place, name = F.xxhash64(F.col(key).cast("string")), F.col(key).cast("string")
+    same = [F.md5(F.col(text).cast("binary")), F.xxhash64(*df.columns)]
+    own = F.struct(same[0].alias("digest"), same[1].alias("hash"), F.octet_length(text).alias("size"))
+    different = df.agg(F.approx_count_distinct(place).alias("n")).first().n
+    share = 1.5 * rows / max(different, 1)
+    while True:
+        cut = min(2**63 - 1, int(share * 2**64) - 2**63)
+        once = df.where(place <= cut).groupBy(place.alias("place"), name.alias("key")).agg(F.min(own).alias("own"))
+        first = once.orderBy("place", "key").limit(rows).select("place", "key", "own.*").collect()
+        if len(first) == rows or share >= 1:
             break
-        chosen.append((r.key, r.digest))
+        share *= 4
+    chosen, total = [], 0
+    for r in sorted(first, key=lambda r: (r.place, r.key or "")):
+        if most is None or total + (r.size or 0) <= most:
+            chosen.append((r.key, r.digest, r.hash))
+            total += r.size or 0
     if not chosen:
         return df.limit(0)
-    last = max(r.place for r in first)
-    wanted = df.sparkSession.createDataFrame(chosen, "_key string, _digest string")
-    here = keyed.where(place <= last)
-    met = here.join(F.broadcast(wanted), (F.col(key).cast("string") == F.col("_key")) & digest.eqNullSafe(F.col("_digest")))
-    return met.dropDuplicates(["_key"]).drop("_key", "_digest")
+    wanted = df.sparkSession.createDataFrame(chosen, "_key string, _digest string, _hash long")
+    met = name.eqNullSafe(F.col("_key")) & same[0].eqNullSafe(F.col("_digest")) & (same[1] == F.col("_hash"))
+    found = df.where(place <= max(r.place for r in first)).join(F.broadcast(wanted), met)
+    return found.dropDuplicates(["_key"]).select(*df.columns)

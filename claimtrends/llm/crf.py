@@ -26,6 +26,8 @@ from .words import LETTER, LOWER, prefix_hash, runs, span_hash
 BUCKETS, LEXICON = 1 << 15, 4_000
 #: Documents learned from at most, sequences cut from them, words of each, spans between switches.
 SAMPLE, SEQUENCES, LENGTH, SPAN = 3_000, 6_000, 32, (4, 24)
+#: Bytes of the texts learned from at most, all in one task.
+SAMPLE_BYTES = 48_000_000
 #: Adagrad: step, ridge, passes and sequences of a batch.
 RATE, RIDGE, PASSES, BATCH = 0.3, 1e-5, 3, 128
 #: Words of a block of the scan.
@@ -247,10 +249,11 @@ def _gradient(scores: np.ndarray, gold: np.ndarray, model: Model) -> tuple[np.nd
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model of (doc_id, text, lang) rows; None if no row has all of them and a letter.
 
-    At most ``sample`` rows are learned from, those whose ids hash lowest, in one task.
+    At most ``sample`` rows of different ids are learned from, those whose ids hash lowest, in one
+    task; their texts have SAMPLE_BYTES at most, and one that does not fit is left out whole.
     """
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    rows = sampled(rows.where(F.col("text").rlike(r"\p{L}")), "doc_id", sample)
+    rows = sampled(rows.where(F.col("text").rlike(r"\p{L}")), "doc_id", sample, "text", SAMPLE_BYTES)
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text", "lang"], kind="stable")

@@ -20,8 +20,9 @@ from .words import WORD, byte_table, grams, prefix_hash, runs, span_hash
 
 #: Buckets for hashed n-grams, the longest n-gram, and buckets for shares of repeated n-grams.
 BUCKETS, ORDER, TIMES = 1 << 18, 2, 8
-#: Labelled texts learned from at most, and texts of a learner; learners' weights are averaged.
-SAMPLE, PER_LEARNER = 16_000, 2_000
+#: Labelled texts learned from at most, texts of a learner, whose weights are averaged, and their
+#: bytes together.
+SAMPLE, PER_LEARNER, SAMPLE_BYTES = 16_000, 2_000, 256_000_000
 #: FTRL: learning rate, its offset, penalties, and passes over a learner's texts.
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 0.001, 0.0, 5
 
@@ -116,18 +117,22 @@ def score(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights learned from (doc_id, text) and (doc_id, label 0 or 1); other rows play no part.
 
-    At most ``sample`` labelled rows are learned from, those whose ids hash lowest; their ids are
-    broadcast, which that bounds. Each learner takes an equal share of at most PER_LEARNER in its
-    own task, and the weights, a bounded vector each, are averaged. Without any labelled text weights are zero.
+    At most ``sample`` labelled ids are learned from, those that hash lowest, which is what is
+    broadcast; an id with both labels has the smaller. One text of each id is, that of the least
+    md5, however many rows repeat the id, and the texts have SAMPLE_BYTES at most: one that does not fit
+    is left out whole. Learners take equal shares of at most about PER_LEARNER in tasks of their own,
+    and the weights, a bounded vector each, are averaged. Without any labelled text weights are zero.
     """
     spark = docs.sparkSession
-    chosen = sampled(labels.where("label in (0, 1) and doc_id is not null"), "doc_id", sample)
-    chosen = chosen.select("doc_id", "label").orderBy("doc_id", "label").collect()
+    known = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample).collect()
     learners = max(1, -(-len(chosen) // PER_LEARNER))
     rows = spark.createDataFrame(
-        [(*r, i % learners) for i, r in enumerate(chosen)], "doc_id long, label int, learner int"
+        [(r.doc_id, int(r.label), i % learners) for i, r in enumerate(sorted(chosen))],
+        "doc_id long, label int, learner int",
     )
     own = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(rows), "doc_id")
+    own = sampled(own, "doc_id", sample, "text", SAMPLE_BYTES)
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "label", "text"], kind="stable")
@@ -138,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     found = own.groupBy("learner").applyInPandas(train, "at int, w double")
     weights = np.zeros(_FIRST + BUCKETS)
-    for r in found.groupBy("at").agg(F.sum("w").alias("w")).collect():
-        weights[r.at] = r.w / learners
+    # one weight of each learner, added in order so that the sum is always the same
+    for r in found.groupBy("at").agg(F.sort_array(F.collect_list("w")).alias("w")).collect():
+        weights[r.at] = sum(r.w) / learners
     return weights
 
 

@@ -80,3 +80,16 @@ def test_code_switched_text_and_edges(llm):
     assert crf.fit(docs.limit(0)) is None
     assert {r.lang_pred for r in crf.identify(frame, None).collect()} == {"und"}
     assert crf.identify(frame.limit(0), model).count() == 0
+
+
+def test_training_input_is_bounded_and_the_same_in_any_order(llm):
+    """One id on a third of the rows, texts of 20 MB, and the same id with two languages."""
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    hot = llm.range(500).selectExpr("7L doc_id", "concat('hot words here ', id) text", "if(id % 2 = 0, 'en', 'de') lang")
+    long = llm.range(4).selectExpr("id + 5000 doc_id", "repeat('das ist ein langer Text ', 850000) text", "'de' lang")
+    frame = docs.unionByName(hot).unionByName(long)
+    one, two = (crf.fit(x, sample=300) for x in (frame, frame.repartition(13, "text")))
+    assert one.labels == two.labels
+    assert all(np.array_equal(a, b) for a, b in zip(one[1:], two[1:], strict=True))
+    got = crf.identify(docs.select("doc_id", "text"), one).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (got.lang_pred == got.lang).mean() > 0.97

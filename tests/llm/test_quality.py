@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from claimtrends.llm import quality
-from claimtrends.llm.common import utf8
+from claimtrends.llm.common import sampled, utf8
 from claimtrends.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.1"
@@ -74,3 +76,30 @@ def test_edges(llm):
     assert not none.any()
     assert {r.score for r in quality.scored(docs, none).collect()} == {0.5}
     assert quality.scored(docs.limit(0), none).count() == 0
+
+
+def test_training_input_is_bounded_and_the_same_in_any_order(llm, monkeypatch):
+    """One id on a third of the rows, a text of 20 MB, and more labelled texts than are learned from."""
+    plain = llm.range(600).selectExpr("id doc_id", "concat('w', id % 7, ' good'  , id % 3, ' text ', id) text")
+    hot = llm.range(300).selectExpr("5L doc_id", "concat('hot ', id) text")
+    long = llm.range(1).selectExpr("1000L doc_id", "repeat('long text here ', 1400000) text")
+    docs = plain.unionByName(hot).unionByName(long)
+    labels = llm.range(600).selectExpr("id doc_id", "cast(id % 2 as int) label").unionByName(
+        llm.createDataFrame([(1000, 1), (5, 0), (5, 1), (None, 1)], "doc_id long, label int"))
+    monkeypatch.setattr(quality, "PER_LEARNER", 100)
+    seen = []
+    for frame in (docs, docs.repartition(11, F.rand(3)).orderBy(F.desc("text"))):
+        weights = quality.fit(frame, labels.orderBy(F.rand(1)), sample=400)
+        assert weights.any()
+        seen.append(weights)
+    assert np.array_equal(*seen)
+    once = sampled(docs, "doc_id", 10_000, "text")
+    assert once.count() == 601 and once.where("doc_id = 5").count() == 1
+    some = sampled(docs, "doc_id", 10_000, "text", 1_000_000)
+    assert sorted(some.drop("text").collect()) == sorted(once.where("doc_id < 1000").drop("text").collect())
+    few = sampled(docs, "doc_id", 50, "text", 600).collect()
+    assert 10 < len(few) < 50 and sum(len(r.text.encode()) for r in few) <= 600
+    assert sorted(sampled(docs.repartition(9), "doc_id", 50, "text", 600).collect()) == sorted(few)
+    nulls = llm.createDataFrame([(None, None), (None, "b"), (1, None), (1, "a"), (1, "a")], "doc_id long, text string")
+    assert sampled(nulls, "doc_id", 9, "text").count() == 2
+    assert sampled(nulls.limit(0), "doc_id", 9, "text").count() == 0
