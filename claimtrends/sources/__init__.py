@@ -1,4 +1,11 @@
-from .claims_csv import export_csv, read_claims, read_raw_csvs
+from .claims_csv import (
+    CheckedClaims,
+    export_csv,
+    read_checked_claims,
+    read_claim_files,
+    read_claims,
+    read_raw_csvs,
+)
 from .session import configure, shared_folder, use_folder
 from .tables import (
     checkpoint_table,
@@ -15,8 +22,8 @@ from .tables import (
 )
 
 __all__ = [
-    "checkpoint_table", "configure", "export_csv", "load_forecasts", "materialize",
-    "new_path", "read_claims", "read_parquet", "read_raw_csvs", "register_views",
+    "CheckedClaims", "checkpoint_table", "configure", "export_csv", "load_forecasts", "materialize",
+    "new_path", "read_checked_claims", "read_claim_files", "read_claims", "read_parquet", "read_raw_csvs", "register_views",
     "save_forecasts", "shared_folder", "stage_counts", "stage_tables", "store", "use_folder",
     "write_parquet",
 ]

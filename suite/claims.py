@@ -112,3 +112,45 @@ def messy_claims(spark: SparkSession, folder: str) -> DataFrame:
         F.when(line != 7, amounts["non_medicaid_amount"] * sign).alias("non_medicaid_amount"),
     )
     return rows.select(*[F.col(c).cast("string").alias(h) for c, h in HEADERS.items()])
+
+
+BROKEN_HEADER = (
+    "State", "NDC", "Year", "Quarter", "Product Name", "Units Reimbursed", "Number of Prescriptions",
+    "Total Amount Reimbursed",
+)
+
+
+def export_with_broken_records(spark: SparkSession, folder: str, path: str, files: int = 8) -> None:
+    """The claims as CSV text, with faults by line number.
+
+    Records of line 1 lack their last two fields, those of line 2 have two more, and those of
+    line 3 have a line break within a quoted name, which is no fault.
+    """
+    line = F.col("l_linenumber")
+    fields = [
+        F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.col("p_brand"), F.year("l_shipdate"),
+        F.quarter("l_shipdate"), F.when(line == 3, F.concat(F.lit('"'), "p_type", F.lit('\n, net"'))).otherwise(F.col("p_type")),
+        F.col("l_quantity").cast("int"), F.lit(1), F.col("l_extendedprice").cast("decimal(18,2)"),
+    ]
+    fields = [f.cast("string") for f in fields]
+    record = (
+        F.when(line == 1, F.concat_ws(",", *fields[:-2]))
+        .when(line == 2, F.concat_ws(",", *fields, F.lit("x"), F.lit("y")))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    # files with line breaks, and files without any
+    part = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(files // 2)) + F.when(line == 3, files // 2).otherwise(0)
+    rows = _line_items(spark, folder).select(record.alias("value"), part.cast("int").alias("part"), F.lit(1).alias("place"))
+    heads = spark.range(files).select(
+        F.lit(",".join(BROKEN_HEADER)).alias("value"), F.col("id").cast("int").alias("part"), F.lit(0).alias("place")
+    )
+    whole = rows.unionByName(heads).repartitionById(files, "part").sortWithinPartitions("place")
+    whole.select("value").write.text(path)
+    # the writer names its files .txt
+    java = spark._jvm.org.apache.hadoop.fs
+    target = java.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(target):
+        name = status.getPath()
+        if name.getName().endswith(".txt"):
+            system.rename(name, java.Path(name.getParent(), name.getName().removesuffix(".txt") + ".csv"))

@@ -453,6 +453,20 @@ _SAFE = _MESSY + _totals("messy_agg", "cleansed", 3)
 ORACLES: dict[str, str] = {
     "scan_csv": select(_CLAIMS, [*CLAIM_COLUMNS, "false AS spend_mismatch"], "claims"),
     "union_by_name": select(_CLAIMS, RAW_SHOWN, "claims"),
+    "scan_quarantine": f"""WITH {_LINES.strip()},
+fields AS (
+  SELECT l_linenumber AS line, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS state, p_brand, p_type,
+    year(l_shipdate) AS y, quarter(l_shipdate) AS q, CAST(l_quantity AS INTEGER) AS units, amount
+  FROM priced)
+SELECT NULL AS raw, state, lpad(regexp_replace(p_brand, '[^0-9]', '', 'g'), 11, '0') AS ndc11_normalized,
+  CASE WHEN line = 3 THEN p_type || chr(10) || ', net' ELSE p_type END AS product_name_fda10,
+  make_date(CAST(y AS INTEGER), CAST(3 * q - 2 AS INTEGER), 1) AS quarter_start,
+  CAST(units AS DOUBLE) AS units_reimbursed, CAST(amount AS DOUBLE) AS total_amount
+FROM fields WHERE line NOT IN (1, 2)
+UNION ALL
+SELECT concat_ws(',', state, p_brand, y, q, p_type, units) || CASE WHEN line = 2 THEN ',1,' || CAST(amount AS VARCHAR) || ',x,y' ELSE '' END,
+  NULL, NULL, NULL, NULL, NULL, NULL
+FROM fields WHERE line IN (1, 2)""",
     "parquet_roundtrip": select(_AGG, AGG_SHOWN, "agg"),
     "materialize": select(_AGG, AGG_SHOWN, "agg"),
     "load_or_empty": select(_BATCH, "*", "forecasts"),

@@ -30,6 +30,7 @@ from claimtrends.sources import (
     load_forecasts,
     materialize,
     new_path,
+    read_checked_claims,
     read_claims,
     read_raw_csvs,
     register_views,
@@ -149,6 +150,18 @@ def union_by_name_query(spark, folder):
     return read_raw_csvs(spark, path).select(*source.HEADERS.values())
 
 
+@query("scan_quarantine")
+def scan_quarantine_query(spark, folder):
+    """Every record of an extract with broken ones, kept or quarantined."""
+    path = new_path(spark, "broken-csv")
+    source.export_with_broken_records(spark, folder, path)
+    checked = read_checked_claims(spark, path)
+    names = ("state", "ndc11_normalized", "product_name_fda10", "quarter_start", "units_reimbursed", "total_amount")
+    kept = checked.claims.select(F.lit(None).cast("string").alias("raw"), *names)
+    broken = checked.quarantine.select("raw", *[F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in names])
+    return kept.unionByName(broken)
+
+
 @query("parquet_roundtrip")
 def parquet_roundtrip_query(spark, folder):
     """One folder per state; a state such as '05' stays text."""

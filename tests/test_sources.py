@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from claimtrends.columns import FORECAST_SCHEMA
 from claimtrends.sources import (
     checkpoint_table, configure, export_csv, load_forecasts, materialize, read_claims, read_parquet,
-    read_raw_csvs, register_views, save_forecasts, shared_folder, stage_counts, stage_tables,
+    read_checked_claims, read_raw_csvs, register_views, save_forecasts, shared_folder, stage_counts, stage_tables,
     store, write_parquet,
 )
 from claimtrends.sources import session as session_module
@@ -217,3 +217,50 @@ def test_configure_sets_runtime_settings(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_broken_records_are_set_apart(spark, tmp_path):
+    folder = write(
+        tmp_path / "raw",
+        a=["State,NDC,Product Name", "CA,1,x", "TX,2", "", 'NY,3,"two', 'lines, one name"', "CA,4,y,z", "WA,5,w"],
+        b=["State,NDC", "OR,6", 'OR,"7'],
+        c=['State,"National', 'Drug Code",Product Name', "NV,8,v", "NV,9"],
+        d=["State,NDC,Product Name", 'CA,10,5\\" tape', "CA,11", "CA,12,q"],
+    )
+    checked = read_checked_claims(spark, folder)
+    kept = {(r.state, r.ndc11, r.product_name_fda10) for r in checked.claims.collect()}
+    assert kept == {("CA", "1", "x"), ("NY", "3", 'two\nlines, one name'), ("WA", "5", "w"), ("OR", "6", None),
+                    ("OR", "7\n", None), ("NV", None, "v"), ("CA", "10", '5\\" tape'), ("CA", "12", "q")}
+    broken = {(r.file.rsplit("/", 1)[1], r.block_start, r.record, r.fields, r.raw) for r in checked.quarantine.collect()}
+    assert broken == {("a.csv", 0, 2, 3, "TX,2"), ("a.csv", 0, 4, 3, "CA,4,y,z"), ("c.csv", 0, 2, 3, "NV,9"), ("d.csv", 0, 2, 3, "CA,11")}
+    assert checked.claims.count() + checked.quarantine.count() == 5 + 2 + 2 + 3
+    # without the check the short row is filled and the long one cut
+    plain = {(r.state, r.product_name_fda10) for r in read_claims(spark, folder).collect()}
+    assert ("TX", None) in plain and ("CA", "y") in plain
+
+
+def test_places_of_broken_records_in_parts_of_a_file(spark, tmp_path):
+    lines = ["State,NDC", *[f"CA,{i}" if i % 1000 else f"CA,{i},extra" for i in range(1, 5001)]]
+    folder = write(tmp_path / "raw", a=lines, b=["State,NDC", "TX,1"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        checked = read_checked_claims(spark, folder)
+        found = checked.quarantine.orderBy("block_start", "record").collect()
+        assert checked.claims.count() == 4996
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.raw for r in found] == [f"CA,{i},extra" for i in range(1000, 5001, 1000)]
+    data = (tmp_path / "raw" / "a.csv").read_bytes()
+    for r in found:
+        # a part begins with the first line that starts after its first byte
+        begin = data.index(b"\n", r.block_start - 1) + 1 if r.block_start else data.index(b"\n") + 1
+        assert data[begin:].decode().split("\n")[r.record - 1] == r.raw
+    assert len({r.block_start for r in found}) > 1
+
+
+def test_a_whole_folder_has_no_quarantine(spark, tmp_path):
+    checked = read_checked_claims(spark, write(tmp_path / "raw", a=["State,NDC", "CA,1"]))
+    assert checked.quarantine.count() == 0 and checked.claims.count() == 1
+    with pytest.raises(FileNotFoundError):
+        read_checked_claims(spark, str(tmp_path / "absent"))
