@@ -37,6 +37,29 @@ def _total(source: str, decimals: int | None) -> Column:
     return F.sum(exact.otherwise(F.raise_error(lost).cast("bigint"))) / float(10**decimals)
 
 
+def _known(decimals: Decimals) -> Mapping[str, int]:
+    return dict.fromkeys(AMOUNTS, decimals) if isinstance(decimals, int) else decimals or {}
+
+
+def merge_totals(totals: DataFrame, more: DataFrame, decimals: Decimals = None) -> DataFrame:
+    """Quarterly totals of all claims from the totals of two sets of them.
+
+    With ``decimals`` as for ``quarterly_totals`` the result is that of one pass over all claims;
+    columns without known decimals are added as doubles.
+    """
+    known = _known(decimals)
+    both = totals.select(*AGGREGATE_KEYS, *TOTALS).unionByName(more.select(*AGGREGATE_KEYS, *TOTALS))
+
+    def merged(name: str, source: str) -> Column:
+        if source not in known:
+            return F.sum(name)
+        scale = float(10 ** known[source])
+        return F.sum(F.rint(F.col(name) * scale).cast("bigint")) / scale
+
+    sums = [merged(name, source).alias(name) for name, source in TOTALS.items()]
+    return both.groupBy(*AGGREGATE_KEYS).agg(*sums)
+
+
 def quarterly_totals(df: DataFrame, decimals: Decimals = None) -> DataFrame:
     """Five sums per state, drug, product and quarter; unknown measures count as 0.
 
@@ -47,7 +70,7 @@ def quarterly_totals(df: DataFrame, decimals: Decimals = None) -> DataFrame:
     has more decimals raises, as does a sum too large for a long.
     """
     filled = df.fillna(dict.fromkeys(CLAIM_MEASURES, 0))
-    known = dict.fromkeys(AMOUNTS, decimals) if isinstance(decimals, int) else decimals or {}
+    known = _known(decimals)
     totals = [_total(source, known.get(source)).alias(name) for name, source in TOTALS.items()]
     return filled.groupBy(*AGGREGATE_KEYS).agg(*totals)
 

@@ -92,50 +92,52 @@ class Store:
         counted.withColumn("version", F.lit(version)).write.mode("append").partitionBy(
             *partition_by, "version"
         ).parquet(target)
-        rows = written.get.get("rows", 0)
         folders = {}
         files, path = _located(self.spark, target)
         mine = f"version={version}"
         for status in files.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "/".join([*["*=*"] * len(partition_by), mine]))) or []:
             below = "/".join(status.getPath().toString().split("/")[-len(partition_by) - 1:])
             folders[below.removesuffix(mine)] = below
+        # nothing is observed where a plan turns out empty
+        rows = written.get["rows"] if folders else 0
         return Part(table, df.schema, partition_by, folders, rows)
 
-    def publish(
-        self, parts: Iterable[Part], based_on: Commit, note: dict | None = None, whole: bool = True,
-        dropped: dict[str, Iterable[str]] | None = None,
-    ) -> Commit:
-        """Make the written rows the store's next version.
-
-        ``whole`` replaces the tables; else only the partitions of the parts are, and those that
-        ``dropped`` names for a table go. Raises Conflict if the store is no longer ``based_on``.
-        """
+    def preview(self, parts: Iterable[Part], based_on: Commit, whole: bool = True) -> Commit:
+        """What the store would hold with these parts. ``whole`` replaces their tables, else only
+        the partitions of the parts are replaced."""
         tables = dict(based_on.tables)
         for part in parts:
-            held = {} if whole or part.table not in tables else dict(tables[part.table]["folders"])
-            for name in (dropped or {}).get(part.table, ()):
-                held.pop(name, None)
+            held = {} if whole or part.table not in tables else tables[part.table]["folders"]
             tables[part.table] = {
                 "schema": part.schema.jsonValue(), "partition_by": list(part.partition_by),
                 "folders": held | part.folders,
             }
-        number = based_on.number + 1
-        if self.numbers()[-1:] not in ([], [based_on.number]) and self.commit().number != based_on.number:
-            raise Conflict(f"{self.root} has moved on from version {based_on.number}")
-        while number in self.numbers():
-            number += 1  # of a writer that died
+        return Commit(based_on.number, tables, based_on.note)
+
+    def publish(
+        self, parts: Iterable[Part], based_on: Commit, note: dict | None = None, whole: bool = True
+    ) -> Commit:
+        """Make the written rows the store's next version, as ``preview`` shows it.
+
+        Raises Conflict if the store is no longer ``based_on``.
+        """
+        tables = self.preview(parts, based_on, whole).tables
+        moved = Conflict(f"{self.root} has moved on from version {based_on.number}")
+        if self.commit().number != based_on.number:
+            raise moved
+        number = max([based_on.number, *self.numbers()]) + 1  # beyond those of writers that died
         files, target = _located(self.spark, self._commit_path(number))
         files.mkdirs(target.getParent())
-        text = json.dumps({"tables": tables, "note": note if note is not None else based_on.note})
+        note = based_on.note if note is None else note
         try:
             stream = files.create(target, False)
         except Exception as error:
             if files.exists(target):
-                raise Conflict(f"{self.root} has moved on from version {based_on.number}") from error
+                raise moved from error
             raise
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(json.dumps({"tables": tables, "note": note}).encode()))
         stream.close()
-        return Commit(number, tables, json.loads(text)["note"])
+        return Commit(number, tables, note)
 
     def replace(self, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> Commit:
         """Replace one table by a frame, which may read the table itself."""

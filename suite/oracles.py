@@ -568,6 +568,10 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     ),
     "pipeline_risks": select(_RISKS, RISKS_SHOWN, "risks"),
     "pipeline_from_csv": select(_RISKS, RISKS_SHOWN, "risks"),
+    "pipeline_incremental": select(_RISKS, RISKS_SHOWN, "risks"),
+    "snapshot_read": select(
+        _AGG, ["1 AS version", *AGG_SHOWN], "agg", "WHERE year(quarter_start) < 1999"
+    ) + f" UNION ALL SELECT 2, {', '.join(AGG_SHOWN)} FROM agg",
     "high_cost_exact": select(
         _DASHBOARD, [*KEYS, "total_spend", shown("spend_cut", 4), "high_cost"], "demo"
     ),

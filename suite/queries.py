@@ -20,11 +20,13 @@ from claimtrends.plans import (
     dashboard,
     product_features,
     quality_checked,
+    refresh,
     run,
     series_features,
     stages_from_claims,
 )
 from claimtrends.sources import (
+    Store,
     checkpoint_table,
     export_csv,
     load_forecasts,
@@ -439,6 +441,38 @@ def pipeline_from_csv_query(spark, folder):
     return shown(run(spark, f"{path}/raw", f"{path}/processed", CENTS).risks)
 
 
+@query("pipeline_incremental")
+def pipeline_incremental_query(spark, folder):
+    """Three extracts taken in one after the other, late claims of old quarters in the last two."""
+    path = new_path(spark, "incremental")
+    rows = source.raw_claims(spark, folder)
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(20))
+    year = F.coalesce(F.col("Year").try_cast("int"), F.lit(0))
+    batch = F.when(late == 0, 3).when((late == 1) | ((year >= 1998) & (year < 2001)), 2).when(year >= 2001, 3).otherwise(1)
+    for number in (1, 2, 3):
+        rows.where(batch == number).write.mode("append").option("header", True).csv(f"{path}/raw")
+        stages = refresh(spark, f"{path}/raw", f"{path}/store", CENTS)
+    return shown(stages.risks)
+
+
+@query("snapshot_read")
+def snapshot_read_query(spark, folder):
+    """Two versions of a table, and a build that fails and leaves both as they were."""
+    store = Store(spark, new_path(spark, "snapshots"))
+    totals = _aggregates(spark, folder)
+    first = store.replace("aggregates", totals.where(F.year("quarter_start") < 1999), ("quarter_start",))
+    store.replace("aggregates", totals)
+    broken = totals.withColumn("total_spend", F.raise_error(F.lit("a build that fails")).cast("double"))
+    try:
+        store.replace("aggregates", broken)
+    except Exception as error:  # noqa: BLE001 - whatever Spark makes of it
+        if "a build that fails" not in str(error):
+            raise
+    versions = [(1, store.read("aggregates", first)), (2, store.read("aggregates"))]
+    old, new = (df.select(F.lit(n).alias("version"), "*") for n, df in versions)
+    return shown(old.unionByName(new))
+
+
 @query("high_cost_exact")
 def high_cost_exact_query(spark, folder):
     rows = risk.high_cost_exact(_dashboard(spark, folder))
