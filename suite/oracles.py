@@ -317,11 +317,8 @@ universe AS (
 )"""
 
 
-def _forecast(universe: str, metric: str, off: float = 0) -> str:
-    """Linear trend times seasonal index on one point per quarter, four steps ahead.
-
-    ``off`` is added before rounding: forecasts of few points in cents often end in half a cent.
-    """
+def _forecast(universe: str, metric: str, digits: int = 2) -> str:
+    """Linear trend times seasonal index on one point per quarter, four steps ahead."""
     return f""",
 points AS (
   SELECT state, ndc11_normalized, quarter_start AS ds, avg(total_{metric}) AS y,
@@ -374,9 +371,9 @@ forecasts AS (
     '{metric}' AS metric, CAST(h AS INTEGER) AS forecast_period,
     CAST(next_start - INTERVAL 1 DAY AS DATE) AS forecast_date,
     next_start AS forecast_quarter_start,
-    {shown_as(f"value + {off}::DOUBLE", "forecast_value", 2)},
-    {shown_as(f"value - 1.2815515655::DOUBLE * deviation + {off}::DOUBLE", "forecast_lower", 2)},
-    {shown_as(f"value + 1.2815515655::DOUBLE * deviation + {off}::DOUBLE", "forecast_upper", 2)},
+    {shown_as("value", "forecast_value", digits)},
+    {shown_as("value - 1.2815515655::DOUBLE * deviation", "forecast_lower", digits)},
+    {shown_as("value + 1.2815515655::DOUBLE * deviation", "forecast_upper", digits)},
     CASE WHEN h IS NULL THEN 'Insufficient data' END AS error
   FROM values_ahead
 )"""
@@ -384,6 +381,78 @@ forecasts AS (
 
 _BATCH = _UNIVERSE + _forecast("universe", "spend")
 
+# The changepoint model: columns, penalties and least quarters of an origin.
+_DESIGN = [
+    "1", "t", *[f"greatest(t - {c}, 0)" for c in (6, 12, 18, 24)],
+    "CASE q WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END", "CASE q WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END",
+    "1 - 2 * (q % 2)",
+]
+_PENALTIES = [0, 0.001, 8, 8, 8, 8, 0.5, 0.5, 0.5]
+
+
+def _changepoints(universe: str, metric: str) -> str:
+    """The model at every quarter of every series, by elimination on running sums."""
+    size = len(_DESIGN)
+    x = [f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_DESIGN)]
+    rows = []
+    for i in range(size):
+        cells = [f"sum(x{min(i, j)} * x{max(i, j)}) OVER w" + (f" + {_PENALTIES[i]}::DOUBLE" if i == j else "")
+                 for j in range(size)]
+        rows.append(f"[{', '.join([*cells, f'sum(x{i} * y) OVER w'])}]")
+    chain = f""",
+points AS (
+  SELECT state, ndc11_normalized, quarter_start AS ds, avg(total_{metric}) AS y, count(total_{metric}) AS n_rows
+  FROM agg SEMI JOIN {universe} USING (state, ndc11_normalized)
+  WHERE total_{metric} IS NOT NULL GROUP BY ALL
+),
+timed AS (
+  SELECT *, 4 * year(ds) + quarter(ds) - min(4 * year(ds) + quarter(ds)) OVER s AS t, quarter(ds) - 1 AS q,
+    sum(n_rows) OVER s AS n, max(ds) OVER s AS last
+  FROM points WINDOW s AS (PARTITION BY state, ndc11_normalized)
+),
+design AS (SELECT *, {', '.join(x)} FROM timed),
+solved0 AS (
+  SELECT state, ndc11_normalized, ds, t, n, last, count(*) OVER w AS seen, [{', '.join(rows)}] AS m
+  FROM design WINDOW w AS (PARTITION BY state, ndc11_normalized ORDER BY ds)
+)"""
+    for k in range(1, size + 1):
+        chain += f""",
+solved{k} AS (
+  SELECT * EXCLUDE (head) REPLACE (list_transform(m, lambda row, i: CASE WHEN i = {k}
+    THEN list_transform(head, lambda v: v / head[{k}])
+    ELSE list_transform(row, lambda v, j: v - row[{k}] * head[j] / head[{k}]) END) AS m)
+  FROM (SELECT *, m[{k}] AS head FROM solved{k - 1})
+)"""
+    terms = " + ".join(f"m[{i + 1}][{size + 1}] * ({c})" for i, c in enumerate(_DESIGN))
+    return chain + f""",
+model_ahead AS (
+  SELECT state, ndc11_normalized, ds AS origin, last, n, seen, CAST(h AS INTEGER) AS step, {terms} AS value
+  FROM (SELECT * EXCLUDE (t), t + h AS t, (quarter(ds) - 1 + h) % 4 AS q FROM solved{size}, range(1, 5) AS s(h))
+),
+tries AS (
+  SELECT a.state, a.ndc11_normalized, origin, step, value AS forecast, p.y AS actual, p.y - value AS error
+  FROM model_ahead a JOIN points p ON a.state = p.state AND a.ndc11_normalized = p.ndc11_normalized
+    AND p.ds = CAST(origin + to_months(3 * step) AS DATE)
+  WHERE seen >= 8
+),
+widths AS (
+  SELECT state, ndc11_normalized, step, list_sort(newest)[CAST(ceil((len(newest) + 1) * 0.8::DOUBLE) AS BIGINT)] AS width
+  FROM (SELECT state, ndc11_normalized, step, list(abs(error) ORDER BY origin DESC)[1:14] AS newest FROM tries GROUP BY ALL)
+),
+model_forecasts AS (
+  SELECT u.state, u.ndc11_normalized AS ndc11, u.product_name_fda10 AS product_name, '{metric}' AS metric,
+    a.step AS forecast_period,
+    CAST(CAST(a.last + to_months(3 * a.step) AS DATE) - INTERVAL 1 DAY AS DATE) AS forecast_date,
+    CAST(a.last + to_months(3 * a.step) AS DATE) AS forecast_quarter_start,
+    {shown_as("value", "forecast_value", 1)}, {shown_as("value - width", "forecast_lower", 1)},
+    {shown_as("value + width", "forecast_upper", 1)},
+    CASE WHEN a.step IS NULL THEN 'Insufficient data' END AS error
+  FROM {universe} u
+  LEFT JOIN (SELECT * FROM model_ahead WHERE origin = last AND n >= 4) a
+    ON u.state = a.state AND u.ndc11_normalized = a.ndc11_normalized
+  LEFT JOIN widths w ON a.state = w.state AND a.ndc11_normalized = w.ndc11_normalized AND a.step = w.step
+)"""
+
 _DRIFT = _UNIVERSE + """,
 points AS (
   SELECT state, ndc11_normalized, quarter_start AS ds, avg(total_spend) AS y,
@@ -695,10 +764,16 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     "forecast_universe_units": select(
         _UNIVERSE.replace("ORDER BY total_spend DESC", "ORDER BY total_units DESC"), AGG_SHOWN, "universe"
     ),
+    "forecast_changepoint": select(_UNIVERSE + _changepoints("universe", "spend"), "*", "model_forecasts"),
+    "forecast_backtest": select(
+        _UNIVERSE + _changepoints("latest", "spend"),
+        ["state", "ndc11_normalized", "origin", "step", shown("forecast", 1), shown("actual", 2), shown("error", 1)],
+        "tries",
+    ),
     "forecast_short_series": select(
         _UNIVERSE.replace("p_brand AS ndc11", "CAST(p_partkey AS VARCHAR) AS ndc11").replace(
             "regexp_replace(p_brand,", "regexp_replace(CAST(p_partkey AS VARCHAR),")
-        + _forecast("latest", "spend", off=1.37e-5), "*", "forecasts"
+        + _forecast("latest", "spend", digits=5), "*", "forecasts"
     ),
     "forecast_input": select(
         _UNIVERSE, AGG_SHOWN, "agg SEMI JOIN universe USING (state, ndc11_normalized)"

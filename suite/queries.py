@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimtrends.columns import DRUG_SERIES, PRODUCT_SERIES
 from claimtrends.functions import round_to
-from claimtrends.operators import aggregate, canonical, features, forecast, risk, serve
+from claimtrends.operators import aggregate, canonical, changepoints, features, forecast, risk, serve
 from claimtrends.operators.joins import combined_join
 from claimtrends.operators.long_series import over_series
 from claimtrends.plans import (
@@ -37,6 +37,7 @@ from claimtrends.sources import (
     read_raw_csvs,
     register_views,
     save_forecasts,
+    shared_folder,
     stage_counts,
     store,
     use_folder,
@@ -79,16 +80,23 @@ def shown(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns(rounded)
 
 
-def _local_folder(spark: SparkSession) -> str:
-    """Where a session without a shared folder keeps intermediate tables: beside its tables."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
+def _with_folder(spark: SparkSession) -> SparkSession:
+    """A local session without a shared folder keeps intermediate tables beside its tables.
+
+    On a cluster that would be a folder of each machine, so there the missing setting is an error.
+    """
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return use_folder(spark, f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages")
+    shared_folder(spark)
+    return spark
 
 
 def query(name: str) -> Callable[[Query], Query]:
     """Register a query under a name."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: fn(use_folder(spark, _local_folder(spark)), folder)
+        QUERIES[name] = lambda spark, folder: fn(_with_folder(spark), folder)
         return fn
 
     return register
@@ -679,9 +687,8 @@ def forecast_short_series_query(spark, folder):
     everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
     frame = forecast.series_frame(aggregates, everything, METRIC)
     rows = forecast.forecast_seasonal_trend(frame, everything, METRIC)
-    # Few points in cents often forecast half a cent: move it off the edge of rounding.
-    parts = ("forecast_value", "forecast_lower", "forecast_upper")
-    return shown(rows.withColumns({c: F.col(c) + 1.37e-5 for c in parts}))
+    # Few points in cents often forecast half a cent, so more digits are shown.
+    return shown(rows, forecast_value=5, forecast_lower=5, forecast_upper=5)
 
 
 @query("forecast_input")
@@ -708,6 +715,23 @@ def forecast_batch_query(spark, folder):
     return shown(_batch(spark, folder))
 
 
+@query("forecast_changepoint")
+def forecast_changepoint_query(spark, folder):
+    aggregates, universe = _chosen(spark, folder)
+    frame = forecast.series_frame(aggregates, universe, METRIC)
+    rows = changepoints.forecast_changepoint(frame, universe, METRIC)
+    return shown(rows, forecast_value=1, forecast_lower=1, forecast_upper=1)
+
+
+@query("forecast_backtest")
+def forecast_backtest_query(spark, folder):
+    """What every series of the table would have been forecast at each earlier quarter."""
+    aggregates = _aggregates(spark, folder)
+    everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
+    rows = changepoints.backtest(forecast.series_frame(aggregates, everything, METRIC))
+    return shown(rows, forecast=1, actual=2, error=1)
+
+
 @query("forecast_dates")
 def forecast_dates_query(spark, folder):
     return forecast.forecast_dates(_planned(spark, folder))
