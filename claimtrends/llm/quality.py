@@ -144,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     found = own.groupBy("learner").applyInPandas(train, "at int, w double")
     weights = np.zeros(_FIRST + BUCKETS)
     # one weight of each learner, added in order so that the sum is always the same
-    for r in found.groupBy("at").agg(F.sort_array(F.collect_list("w")).alias("w")).collect():
-        weights[r.at] = sum(r.w) / learners
+    total = F.aggregate(F.sort_array(F.collect_list("w")), F.lit(0.0), lambda a, w: a + w)
+    found = found.groupBy("at").agg(total.alias("w")).toArrow()
+    weights[found["at"].to_numpy()] = found["w"].to_numpy() / learners
     return weights
 
 
