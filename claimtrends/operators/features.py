@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import DRUG_SERIES, PRODUCT_SERIES, SeriesSpec
+from ..functions import quarter_index
 
 GROWTH_MEASURES = ("spend", "units")
 TREND_STEP = 0.05
@@ -165,6 +166,36 @@ def trend_features(
     return _derive(df, inputs, derived, _directions(frames))
 
 
+def calendar_features(
+    df: DataFrame, spec: SeriesSpec = DRUG_SERIES, lags: Sequence[int] = DEFAULT_LAGS
+) -> DataFrame:
+    """Changes, rolling statistics, growth and lags whose frames count quarters instead of rows.
+
+    All rows of a quarter are in its frames, several products included: a change compares a
+    quarter's total with that of the quarter before, and is null where that one has no rows. Means
+    and deviations are over the rows of the last four quarters. One exchange and one sort for all;
+    a series is one task's work.
+    """
+    quarters = Window.partitionBy(*spec.keys).orderBy("__quarter")
+    span = lambda a, b: quarters.rangeBetween(a, b)
+    inputs, derived = {}, {}
+    for m, c in spec.measures:
+        inputs[f"__now_{m}"] = F.sum(c).over(span(0, 0))
+        inputs[f"__before_{m}"] = F.sum(c).over(span(-1, -1))
+        inputs[f"calendar_4q_{m}_avg"] = F.avg(c).over(span(-3, 0))
+        inputs[f"calendar_4q_{m}_std"] = F.stddev_samp(c).over(span(-3, 0))
+        inputs |= {f"calendar_{m}_lag_{k}q": F.sum(c).over(span(-k, -k)) for k in lags}
+        now, before = F.col(f"__now_{m}"), F.col(f"__before_{m}")
+        derived[f"calendar_{m}_change"] = F.when(before != 0, (now - before) / before)
+        if m in GROWTH_MEASURES:
+            inputs[f"__last_{m}"] = F.sum(c).over(span(-3, 0))
+            inputs[f"__prior_{m}"] = F.sum(c).over(span(-7, -4))
+            last, prior = F.col(f"__last_{m}"), F.col(f"__prior_{m}")
+            derived[f"calendar_4q_growth_{m}"] = F.when(prior > 0, (last - prior) / prior)
+    numbered = df.withColumn("__quarter", quarter_index(F.col(spec.time)))
+    return _derive(numbered, inputs, derived).drop("__quarter")
+
+
 def qoq_change_by_product(df: DataFrame, spec: SeriesSpec = PRODUCT_SERIES) -> DataFrame:
     """Changes along a product name; a rise from zero is infinite."""
     frames = _Frames(spec)

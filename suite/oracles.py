@@ -304,6 +304,43 @@ demo AS (
   FROM demo_flags
 )"""
 
+# One code per part instead of one per brand: series with gaps.
+_SPARSE = _AGG.replace("p_brand AS ndc11", "CAST(p_partkey AS VARCHAR) AS ndc11").replace(
+    "regexp_replace(p_brand,", "regexp_replace(CAST(p_partkey AS VARCHAR),")
+
+
+def _span(a: int, b: int) -> str:
+    side = lambda n: f"{-n} PRECEDING" if n else "CURRENT ROW"
+    return (f"OVER (PARTITION BY state, ndc11_normalized ORDER BY qn RANGE BETWEEN {side(a)} AND {side(b)})")
+
+
+def _lagged(m: str, k: int) -> str:
+    value = f"sum(total_{m}) {_span(-k, -k)}"
+    name = f"calendar_{m}_lag_{k}q"
+    return f"CAST({value} AS BIGINT) AS {name}" if m == "scripts" else shown_as(value, name, 2)
+
+
+_CALENDAR = _SPARSE + f""",
+numbered AS (SELECT *, 4 * year(quarter_start) + quarter(quarter_start) AS qn FROM agg),
+spans AS (
+  SELECT *, {', '.join(
+    [f"CAST(sum(total_{m}) {_span(0, 0)} AS DOUBLE) AS now_{m}" for m in MEASURES]
+    + [f"CAST(sum(total_{m}) {_span(-1, -1)} AS DOUBLE) AS before_{m}" for m in MEASURES]
+    + [f"sum(total_{m}) {_span(-3, 0)} AS last_{m}, sum(total_{m}) {_span(-7, -4)} AS prior_{m}" for m in GROWING]
+    + [shown_as(f"avg(total_{m}) {_span(-3, 0)}", f"calendar_4q_{m}_avg", 4) for m in MEASURES]
+    + [shown_as(f"stddev_samp(total_{m}) {_span(-3, 0)}", f"calendar_4q_{m}_std", 3) for m in MEASURES]
+    + [_lagged(m, k) for k in (1, 2, 4) for m in MEASURES])}
+  FROM numbered
+)"""
+CALENDAR_SHOWN = [
+    *KEYS, *TOTALS, *[f"calendar_4q_{m}_{s}" for m in MEASURES for s in ("avg", "std")],
+    *[f"calendar_{m}_lag_{k}q" for k in (1, 2, 4) for m in MEASURES],
+    *[shown_as(f"CASE WHEN before_{m} <> 0 THEN (now_{m} - before_{m}) / before_{m} END", f"calendar_{m}_change", 6)
+      for m in MEASURES],
+    *[shown_as(f"CASE WHEN prior_{m} > 0 THEN (last_{m} - prior_{m}) / prior_{m} END", f"calendar_4q_growth_{m}", 6)
+      for m in GROWING],
+]
+
 _LATEST_SERIES = """
   SELECT * FROM {table}
   QUALIFY row_number() OVER (PARTITION BY state, ndc11_normalized
@@ -764,6 +801,7 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     "forecast_universe_units": select(
         _UNIVERSE.replace("ORDER BY total_spend DESC", "ORDER BY total_units DESC"), AGG_SHOWN, "universe"
     ),
+    "calendar_features": select(_CALENDAR, CALENDAR_SHOWN, "spans"),
     "forecast_changepoint": select(_UNIVERSE + _changepoints("universe", "spend"), "*", "model_forecasts"),
     "forecast_backtest": select(
         _UNIVERSE + _changepoints("latest", "spend"),

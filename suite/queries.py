@@ -359,6 +359,14 @@ def trend_features_query(spark, folder):
     return shown(series_features(_aggregates(spark, folder), lags=()))
 
 
+@query("calendar_features")
+def calendar_features_query(spark, folder):
+    """Series with gaps: one code per part, and frames that count quarters."""
+    aggregates = aggregates_from_claims(source.claims(spark, folder, sparse=True), CENTS)
+    lags = {f"_lag_{k}q": 2 for k in features.DEFAULT_LAGS}
+    return shown(features.calendar_features(aggregates), **lags).drop(*RATIOS)
+
+
 @query("latest_per_series")
 def latest_per_series_query(spark, folder):
     return shown(serve.latest_per_series(_planned(spark, folder)))

@@ -103,3 +103,19 @@ def test_against_pandas(spark, aggregates):
 def test_product_series_ignore_the_code(aggregates):
     rows = aggregates([("CA", str(q), "A", q, float(q + 1)) for q in range(3)])
     close(column(features.qoq_change_by_product(rows, PRODUCT_SERIES), "qoq_spend_change"), [None, 1.0, 0.5])
+
+
+def test_calendar_frames_count_quarters(aggregates):
+    """A missing quarter is not bridged, and all products of a quarter are in its frames."""
+    rows = [("CA", "1", p, q, v) for q, p, v in [
+        (0, "A", 10.0), (1, "A", 4.0), (1, "B", 8.0), (3, "A", 6.0), (4, "A", 9.0), (9, "A", 2.0), (9, "B", None)]]
+    out = features.calendar_features(aggregates(rows))
+    order = ("quarter_start", "product_name_fda10")
+    close(column(out, "calendar_spend_change", *order), [None, 0.2, 0.2, None, 0.5, None, None])
+    close(column(out, "calendar_4q_spend_avg", *order), [10.0, 22 / 3, 22 / 3, 7.0, 27 / 4, 2.0, 2.0])
+    close(column(out, "calendar_spend_lag_1q", *order), [None, 10.0, 10.0, None, 6.0, None, None])
+    close(column(out, "calendar_spend_lag_2q", *order), [None, None, None, 12.0, None, None, None])
+    close(column(out, "calendar_4q_growth_spend", *order), [None, None, None, None, 1.7, -13 / 15, -13 / 15])
+    assert not [c for c in out.columns if c.startswith("__")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert features.calendar_features(aggregates([])).count() == 0
