@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import Stages
 
-#: Positions of the ring, and virtual nodes of each shard.
-POSITIONS, NODES = 65_536, 128
+#: Positions of the ring, virtual nodes of each shard, and parts in which ranks of an arc are counted.
+POSITIONS, NODES, PARTS = 65_536, 128, 1_024
 
 
 def nodes(shards: int, virtual: int = NODES) -> list[tuple[int, int]]:
@@ -88,8 +88,8 @@ def shard(
     slack the shards' counts are at most one apart; with it a shard holds at most
     ``ceil((1 + slack) * rows / shards)`` and fewer keys leave their own. Slots run from 0 without
     gaps. Repeated ids, null ids included, lie on one arc and are told apart by rank, so that
-    even an id of a third of all rows is spread: ranks are counted per stored part of the table
-    and then offset, never over a whole arc in one task. Other columns are not looked at; an
+    even an id of a third of all rows is spread: ranks are counted per part of the input, of which
+    there are PARTS at most, and then offset, never over a whole arc in one task. Other columns are not looked at; an
     empty table gives an empty result.
     """
     spark, stages = docs.sparkSession, Stages(docs.sparkSession, "ring")
@@ -101,7 +101,7 @@ def shard(
         F.pmod(F.xxhash64(id_col), F.lit(POSITIONS)).cast("int").alias("position"),
     )
     dealt = slim.join(F.broadcast(_arcs(spark, ring)), "position").drop("position")
-    dealt = stages.save(dealt.withColumn("part", F.spark_partition_id()), "arcs")
+    dealt = stages.save(dealt.withColumn("part", F.spark_partition_id() % PARTS), "arcs")
     counts = stages.save(dealt.groupBy("arc", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     totals = {r.arc: r.n for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     room = capacities(sum(totals.values()), shards, slack)

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -61,3 +62,36 @@ def test_only_full_shards_overflow():
     full = ring.capacities(total, 5)
     away = {nodes[arc][1] for arc, _, _, shard, _ in pieces if shard != nodes[arc][1]}
     assert all(load[s] == full[s] for s in away)
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_pieces_equal_a_walk_key_by_key(slack):
+    """Own keys first, in ring order; then each overflowing key goes clockwise to the first shard with room."""
+    ring_, rng = ring.nodes(6, 12), random.Random(4)
+    counts = {arc: rng.choice([0, 1, 5, 40]) for arc in range(len(ring_))}
+    room = ring.capacities(sum(counts.values()), 6, slack)
+    used, want, late = [0] * 6, {}, {}
+
+    def take(key, shard):
+        if used[shard] == room[shard]:
+            return False
+        want[key] = shard, used[shard]
+        used[shard] += 1
+        return True
+
+    for arc, (_, shard) in enumerate(ring_):
+        late[arc] = [(arc, k) for k in range(counts[arc]) if not take((arc, k), shard)]
+    walking = []
+    for step in range(2 * len(ring_)):
+        arc = step % len(ring_)
+        walking = [key for key in walking if not take(key, ring_[arc][1])] + late.pop(arc, [])
+    got = {(arc, k): (shard, base + k - start) for arc, start, end, shard, base in ring.place(counts, ring_, room)
+           for k in range(start, end)}
+    assert not walking and got == want and len(want) == sum(counts.values())
+
+
+def test_parts_have_a_bound(llm, monkeypatch):
+    monkeypatch.setattr(ring, "PARTS", 3)
+    docs = llm.range(3_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("x").alias("text")).repartition(17)
+    slots = by_shard(ring.shard(docs, 24).collect())
+    assert {len(v) for v in slots.values()} == {125} and all(sorted(v) == list(range(125)) for v in slots.values())
