@@ -354,8 +354,12 @@ universe AS (
 )"""
 
 
-def _forecast(universe: str, metric: str, digits: int = 2) -> str:
-    """Linear trend times seasonal index on one point per quarter, four steps ahead."""
+def _forecast(universe: str, metric: str, exact: bool = False) -> str:
+    """Linear trend times seasonal index on one point per quarter, four steps ahead.
+
+    ``exact`` rounds to eight digits first, so that half a cent is half a cent.
+    """
+    cents = lambda value, name: shown_as(r(value, 8) if exact else value, name, 2)
     return f""",
 points AS (
   SELECT state, ndc11_normalized, quarter_start AS ds, avg(total_{metric}) AS y,
@@ -408,9 +412,9 @@ forecasts AS (
     '{metric}' AS metric, CAST(h AS INTEGER) AS forecast_period,
     CAST(next_start - INTERVAL 1 DAY AS DATE) AS forecast_date,
     next_start AS forecast_quarter_start,
-    {shown_as("value", "forecast_value", digits)},
-    {shown_as("value - 1.2815515655::DOUBLE * deviation", "forecast_lower", digits)},
-    {shown_as("value + 1.2815515655::DOUBLE * deviation", "forecast_upper", digits)},
+    {cents("value", "forecast_value")},
+    {cents("value - 1.2815515655::DOUBLE * deviation", "forecast_lower")},
+    {cents("value + 1.2815515655::DOUBLE * deviation", "forecast_upper")},
     CASE WHEN h IS NULL THEN 'Insufficient data' END AS error
   FROM values_ahead
 )"""
@@ -805,13 +809,13 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
     "forecast_changepoint": select(_UNIVERSE + _changepoints("universe", "spend"), "*", "model_forecasts"),
     "forecast_backtest": select(
         _UNIVERSE + _changepoints("latest", "spend"),
-        ["state", "ndc11_normalized", "origin", "step", shown("forecast", 1), shown("actual", 2), shown("error", 1)],
+        ["state", "ndc11_normalized", "origin", "step", shown("forecast", 1), shown("actual", 4), shown("error", 1)],
         "tries",
     ),
     "forecast_short_series": select(
         _UNIVERSE.replace("p_brand AS ndc11", "CAST(p_partkey AS VARCHAR) AS ndc11").replace(
             "regexp_replace(p_brand,", "regexp_replace(CAST(p_partkey AS VARCHAR),")
-        + _forecast("latest", "spend", digits=5), "*", "forecasts"
+        + _forecast("latest", "spend", exact=True), "*", "forecasts"
     ),
     "forecast_input": select(
         _UNIVERSE, AGG_SHOWN, "agg SEMI JOIN universe USING (state, ndc11_normalized)"
