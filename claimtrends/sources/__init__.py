@@ -8,6 +8,7 @@ from .claims_csv import (
 )
 from .session import configure, shared_folder, use_folder
 from .snapshots import Commit, Conflict, Store, input_files
+from .sql_functions import register_functions
 from .tables import (
     checkpoint_table,
     load_forecasts,
@@ -24,7 +25,8 @@ from .tables import (
 
 __all__ = [
     "CheckedClaims", "Commit", "Conflict", "Store", "checkpoint_table", "configure", "export_csv", "input_files", "load_forecasts", "materialize",
-    "new_path", "read_checked_claims", "read_claim_files", "read_claims", "read_parquet", "read_raw_csvs", "register_views",
+    "new_path", "read_checked_claims", "read_claim_files", "read_claims", "read_parquet", "read_raw_csvs",
+    "register_functions", "register_views",
     "save_forecasts", "shared_folder", "stage_counts", "stage_tables", "store", "use_folder",
     "write_parquet",
 ]

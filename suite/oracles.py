@@ -801,6 +801,32 @@ WHERE total_spend >= 0 AND total_scripts >= 0""",
         _AGG, "DISTINCT ndc11_normalized, product_name_fda10", "agg", "WHERE state = '05'"
     ),
     "state_products": select(_AGG, "DISTINCT product_name_fda10", "agg", "WHERE state = '05'"),
+    "trend_features_by_series": select(_FEATURES, FEATURES_SHOWN, "features"),
+    "trend_features_long_by_series": select(_FEATURES, FEATURES_SHOWN, "features"),
+    "thresholds_merged": select(
+        _AGG,
+        ["state", "CAST(year(quarter_start) AS INTEGER) AS year", "count(*) AS rows",
+         "quantile_disc(total_spend, 0.75) AS spend_75th_percentile",
+         "quantile_disc(total_spend, 0.9) AS spend_90th_percentile"],
+        "agg", "GROUP BY ALL",
+    ),
+    "kpi_from_bitmaps": select(
+        _AGG + """,
+subsets(subset, states, first, last) AS (VALUES
+  ('all', NULL, NULL, NULL),
+  ('three states', ['03', '05', '11'], NULL, NULL),
+  ('newer', NULL, DATE '1996-01-01', NULL),
+  ('one state, one year', ['05'], DATE '1994-01-01', DATE '1994-12-31'),
+  ('no state', ['none'], NULL, NULL)
+)""",
+        ["subset", shown_as("sum(total_spend)", "total_spend", 2),
+         "count(DISTINCT ndc11_normalized) AS unique_drugs", "count(DISTINCT state) AS states",
+         "max(quarter_start) AS latest_quarter",
+         "strftime(max(quarter_start), '%Y-%m') AS latest_month"],
+        "subsets LEFT JOIN agg ON (states IS NULL OR list_contains(states, state))"
+        " AND (first IS NULL OR quarter_start >= first) AND (last IS NULL OR quarter_start <= last)",
+        "GROUP BY subset",
+    ),
     "forecast_universe": select(_UNIVERSE, AGG_SHOWN, "universe"),
     "forecast_universe_units": select(
         _UNIVERSE.replace("ORDER BY total_spend DESC", "ORDER BY total_units DESC"), AGG_SHOWN, "universe"
@@ -877,3 +903,12 @@ FROM agg SEMI JOIN universe USING (state, ndc11_normalized)
 UNION ALL
 SELECT state, ndc11, forecast_date, forecast_value, 'forecast' FROM forecasts WHERE error IS NULL""",
 }
+
+# The same results by another way.
+ORACLES |= {
+    "combined_join_by_series": ORACLES["combined_join"],
+    "history_in_place": ORACLES["history_by_series"],
+    "sql_top_spend": ORACLES["top_spend_latest_state"],
+    "sql_top_risers": ORACLES["top_risers_latest"],
+    "sql_watchlist": ORACLES["watchlist"],
+}

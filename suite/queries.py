@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from claimtrends.columns import DRUG_SERIES, PRODUCT_SERIES
 from claimtrends.functions import round_to
-from claimtrends.operators import aggregate, canonical, changepoints, features, forecast, risk, serve
+from claimtrends.operators import aggregate, bitmaps, canonical, changepoints, features, forecast, risk, serve, sketches
 from claimtrends.operators.joins import combined_join
 from claimtrends.operators.long_series import over_series
+from claimtrends.plans import by_series
 from claimtrends.plans import (
     Stages,
     aggregates_from_claims,
@@ -35,6 +36,7 @@ from claimtrends.sources import (
     read_checked_claims,
     read_claims,
     read_raw_csvs,
+    register_functions,
     register_views,
     save_forecasts,
     shared_folder,
@@ -663,6 +665,104 @@ def state_products_query(spark, folder):
     return serve.state_products(_planned(spark, folder), STATE)
 
 
+# Stored layouts
+
+
+def _by_series(spark: SparkSession, folder: str) -> by_series.SeriesTable:
+    return by_series.store_by_series(_aggregates(spark, folder), "series_aggregates")
+
+
+def _stages_by_series(spark: SparkSession, folder: str) -> tuple[by_series.SeriesTable, ...]:
+    """The three stage tables in buckets; the later two are written where the first one lies."""
+    aggregates = _by_series(spark, folder)
+    made = by_series.store_in_place(*by_series.features_by_series(aggregates), aggregates, "series_features")
+    thresholds = checkpoint_table(risk.spend_thresholds(aggregates.rows()), "thresholds")
+    graded = [None if t is None else risk.flag_risks(t, thresholds=thresholds) for t in (made.usual, made.long)]
+    return aggregates, made, by_series.store_in_place(*graded, aggregates, "series_risks")
+
+
+@query("trend_features_by_series")
+def trend_features_by_series_query(spark, folder):
+    usual, long = by_series.features_by_series(_by_series(spark, folder), lags=())
+    usual = usual.drop(by_series.SERIES_ID)
+    return shown(usual if long is None else usual.unionByName(long))
+
+
+@query("trend_features_long_by_series")
+def trend_features_long_by_series_query(spark, folder):
+    """Series of more than eight rows are kept out of the buckets."""
+    table = by_series.store_by_series(_aggregates(spark, folder), "series_aggregates", max_rows=8)
+    usual, long = by_series.features_by_series(table, lags=())
+    return shown(usual.drop(by_series.SERIES_ID).unionByName(long))
+
+
+@query("combined_join_by_series")
+def combined_join_by_series_query(spark, folder):
+    stages = _stages_by_series(by_series.keep_in_place(spark), folder)
+    return shown(by_series.combined_by_series(*stages).drop(*RATIOS))
+
+
+@query("history_in_place")
+def history_in_place_query(spark, folder):
+    return shown(by_series.history_in_place(_stages_by_series(spark, folder)[2], STATE, DRUG))
+
+
+@query("thresholds_merged")
+def thresholds_merged_query(spark, folder):
+    """Thresholds of a state and year, from the stored sketches of its quarters."""
+    stored = checkpoint_table(sketches.spend_sketches(_planned(spark, folder)), "sketches")
+    by = ("state", "year")
+    years = stored.withColumn("year", F.year("quarter_start"))
+    return sketches.thresholds_of(sketches.merge_sketches(years, by), by)
+
+
+NEWER = date(1996, 1, 1)
+SUBSETS = {
+    "all": bitmaps.Subset(),
+    "three states": bitmaps.Subset(STATES),
+    "newer": bitmaps.Subset(first=NEWER),
+    "one state, one year": bitmaps.Subset((STATE,), date(1994, 1, 1), date(1994, 12, 31)),
+    "no state": bitmaps.Subset(("none",)),
+}
+
+
+@query("kpi_from_bitmaps")
+def kpi_from_bitmaps_query(spark, folder):
+    """Cells of the older quarters are stored first; the newer ones come with codes of their own."""
+    aggregates = _aggregates(spark, folder)
+    older, newer = (aggregates.where(test) for test in (
+        F.col("quarter_start") < F.lit(NEWER), F.col("quarter_start") >= F.lit(NEWER)))
+    numbers = checkpoint_table(bitmaps.code_numbers(older), "numbers")
+    cells = checkpoint_table(bitmaps.kpi_cells(older, numbers), "cells")
+    numbers = checkpoint_table(bitmaps.code_numbers(newer, numbers), "numbers")
+    cells = checkpoint_table(bitmaps.merge_cells(cells, bitmaps.kpi_cells(newer, numbers)), "cells")
+    return shown(bitmaps.kpi_of(cells, SUBSETS), total_spend=2)
+
+
+# From SQL
+
+
+def _functions(spark: SparkSession, folder: str) -> SparkSession:
+    risks = checkpoint_table(_risks(spark, folder), "risks")
+    register_functions(spark, risks)
+    return spark
+
+
+@query("sql_top_spend")
+def sql_top_spend_query(spark, folder):
+    return shown(_functions(spark, folder).sql(f"SELECT * FROM top_spend('{STATE}', {TOP_K})"))
+
+
+@query("sql_top_risers")
+def sql_top_risers_query(spark, folder):
+    return shown(_functions(spark, folder).sql(f"SELECT * FROM top_risers(k => {TOP_K})"))
+
+
+@query("sql_watchlist")
+def sql_watchlist_query(spark, folder):
+    return shown(_functions(spark, folder).sql("SELECT * FROM watchlist()"))
+
+
 # Forecasts
 
 
