@@ -1,10 +1,11 @@
 """Suffix arrays by induced sorting, on whole arrays at a time.
 
 A suffix is S if it is smaller than the next one and L if larger; a leftmost S (LMS) suffix
-follows an L. LMS substrings, from one LMS position to the next, are named by rank; names of
-neighbours are then paired, pairs paired again and so on until all differ, which orders the LMS
-suffixes. From them one scan of the buckets induces the L suffixes, and one backwards the S
-suffixes. A bucket is scanned in runs: what a run induces within its own bucket is the next run.
+follows an L. LMS substrings, from one LMS position to the next, are named by rank; if names tie,
+the text of the names, at most half as long, is sorted by the same algorithm, which orders the
+LMS suffixes. From them one scan of the buckets induces the L suffixes, and one backwards the S
+suffixes. A scan takes as many buckets at a time as induce nothing among themselves, since the
+alphabet of a text of names is nearly as large as the text.
 """
 
 from __future__ import annotations
@@ -38,83 +39,115 @@ def _tied(rank: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return rows[count[rank[rows]] > 1]
 
 
-def order_lms(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """The LMS positions in the order of their suffixes."""
+def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The rank of each LMS substring, by symbols and kinds; equal substrings share theirs."""
     count = len(lms)
     length = np.append(np.diff(lms) + 1, 1)
-    sign = np.concatenate([text.astype(np.uint64) * np.uint64(2) + small, np.zeros(8, np.uint64)])
+    bits = (2 * int(text.max()) + 1).bit_length()
+    wide = 62 // bits
     rank, rows, done = np.zeros(count, np.int64), np.arange(count), 0
     while len(rows):
         key = np.zeros(len(rows), np.uint64)
-        for j in range(5):
+        for j in range(wide):
             inside = done + j < length[rows]
-            key = key << np.uint64(12) | np.where(inside, sign[lms[rows] + np.where(inside, done + j, 0)], 0).astype(np.uint64)
+            at = lms[rows] + np.where(inside, done + j, 0)
+            sign = text[at].astype(np.uint64) * np.uint64(2) + small[at]
+            key = key << np.uint64(bits) | np.where(inside, sign, 0).astype(np.uint64)
         _refine(rank, rows, key)
-        done += 5
+        done += wide
         rows = _tied(rank, rows[length[rows] > done])
-    rows, ahead = _tied(rank, np.arange(count)), 1
-    while len(rows) and ahead < count:
-        _refine(rank, rows, np.where(rows + ahead < count, rank[np.minimum(rows + ahead, count - 1)] + 1, 0))
-        rows, ahead = _tied(rank, rows), 2 * ahead
-    return lms[np.argsort(rank, kind="stable")]
-
-
-class _Buckets:
-    """Positions waiting to be scanned, by first symbol, in the order they were induced."""
-
-    def __init__(self, text: np.ndarray, size: int):
-        self.text, self.waiting = text, [[] for _ in range(size)]
-
-    def put(self, positions: np.ndarray) -> None:
-        if len(positions):
-            symbol = self.text[positions]
-            order = np.argsort(symbol, kind="stable")
-            positions, symbol = positions[order], symbol[order]
-            cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
-            for part, at in zip(np.split(positions, cut), np.concatenate([[0], cut]), strict=True):
-                self.waiting[symbol[at]].append(part)
+    return rank
 
-    def scan(self, symbol: int, wanted: np.ndarray) -> np.ndarray:
-        """Empty one bucket, inducing what stands before its positions where ``wanted`` is set."""
-        out, run = [], self.waiting[symbol]
-        run = np.concatenate(run) if run else _NONE
-        while len(run):
-            out.append(run)
-            run = self.induce(run, wanted, symbol)
-        self.waiting[symbol] = []
-        return np.concatenate(out) if out else _NONE
 
-    def induce(self, positions: np.ndarray, wanted: np.ndarray, symbol: int = -1) -> np.ndarray:
-        before = positions[positions > 0] - 1
-        before = before[wanted[before]]
-        own = self.text[before] == symbol
-        self.put(before[~own])
-        return before[own]
-
-
-_NONE = np.zeros(0, np.int64)
+def order_lms(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The LMS positions in the order of their suffixes."""
+    rank = _names(text, small, lms)
+    used = np.bincount(rank, minlength=len(lms)) > 0
+    if used.all():
+        return lms[np.argsort(rank, kind="stable")]
+    names = np.cumsum(used)[rank] - 1  # the last substring is the end alone, and so the only 0
+    return lms[suffix_array(names.astype(np.int32))]
+
+
+def _put(order: np.ndarray, head: np.ndarray, positions: np.ndarray, symbol: np.ndarray) -> None:
+    """Positions to the heads of their symbols' buckets, in the order given."""
+    if not len(positions):
+        return
+    by = np.argsort(symbol, kind="stable")
+    positions, symbol = positions[by], symbol[by]
+    first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+    count = np.diff(np.append(first, len(symbol)))
+    order[head[symbol] + np.arange(len(symbol)) - np.repeat(first, count)] = positions
+    head[symbol[first]] += count
+
+
+def _chains(text: np.ndarray, run: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What a bucket's positions induce within it: first all one step back, then all two steps."""
+    back = before[run]
+    on = np.flatnonzero(back)
+    owner = np.repeat(on, back[on])
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(back[on]) - back[on], back[on]) + 1
+    by = np.argsort(step, kind="stable")
+    return run[owner[by]] - step[by]
+
+
+def _induce(text: np.ndarray, wanted: np.ndarray, order: np.ndarray, start: np.ndarray) -> None:
+    """Fill the heads of the buckets of ``order`` by one scan; -1 marks what is empty.
+
+    ``wanted`` are the suffixes to place; what stands at the ends of the buckets is there already.
+    A wanted suffix lies in the bucket of the one that induces it, or in a later one.
+    """
+    head, symbols = start[:-1].copy(), len(start) - 1
+    # how many equal symbols go before a position; their suffixes are of its kind
+    at = np.arange(len(text))
+    change = np.concatenate([[True], text[1:] != text[:-1]])
+    before = at - np.maximum.accumulate(np.where(change, at, 0))
+    low, size = 0, 1
+    while low < symbols:
+        high = min(symbols, low + size)
+        seen = order[start[low]:start[high]]
+        seen = seen[seen > 0]
+        made = seen - 1
+        made = made[wanted[made]]
+        symbol = text[made]
+        least = int(symbol.min()) if len(symbol) else symbols
+        if least >= high:
+            _put(order, head, made, symbol)
+            low, size = high, 2 * size
+        elif least > low:
+            size = least - low
+        else:
+            run = order[start[low]:head[low]]
+            more = _chains(text, run, before)
+            order[head[low]:head[low] + len(more)] = more
+            head[low] += len(more)
+            seen = order[start[low]:start[low + 1]]
+            made = seen[seen > 0] - 1
+            made = made[wanted[made] & (text[made] != low)]
+            _put(order, head, made, text[made])
+            low, size = low + 1, max(1, size // 2)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes in order. The last symbol is 0 and the only one."""
+    n = len(text)
+    if n < 2:
+        return np.arange(n)
     small = _kinds(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if not len(lms):
-        return np.array([len(text) - 1])[: len(text)]
     lms = order_lms(text, small, lms)
-    size = int(text.max()) + 1
-    edge = np.searchsorted(text[lms], np.arange(size + 1))
-    large, left = _Buckets(text, size), []
-    for symbol in range(size):
-        left.append(large.scan(symbol, ~small))
-        large.induce(lms[edge[symbol]: edge[symbol + 1]], ~small)
-    lower, parts = _Buckets(text, size), [None] * size
-    for symbol in range(size - 1, 0, -1):
-        right = lower.scan(symbol, small)
-        lower.induce(left[symbol][::-1], small)
-        parts[symbol] = np.concatenate([left[symbol], right[::-1]])
-    parts[0] = np.array([len(text) - 1])
-    return np.concatenate(parts)
+    symbols = int(text.max()) + 1
+    start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+    order = np.full(n, -1, np.int32 if n < 2**31 else np.int64)
+    owner = text[lms].astype(np.int64)
+    later = np.searchsorted(owner, owner, "right") - np.arange(len(lms))
+    order[start[owner + 1] - later] = lms
+    _induce(text, ~small, order, start)
+    order[(order >= 0) & small[order]] = -1
+    # backwards, the same scan places the S suffixes
+    _induce((symbols - 1 - text.astype(np.int32)), small, order[::-1], (n - start)[::-1])
+    order[0] = n - 1
+    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

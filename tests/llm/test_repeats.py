@@ -107,6 +107,37 @@ def test_suffix_array_and_prefixes(seed):
             assert suffix.repeated(text, least).tolist() == want
 
 
+def _fibonacci(n):
+    a, b = [1], [1, 2]
+    while len(b) < n:
+        a, b = b, b + a
+    return b[:n]
+
+
+@pytest.mark.parametrize("body", [
+    [3] * 5000, [1, 2] * 3000, _fibonacci(6000), [2, 1, 3, 1, 2] * 900 + [2, 1, 3, 1, 1], [9] * 2000 + [1] + [9] * 2000,
+    list(range(1, 3000)) + list(range(1, 3000)), list(range(3000, 0, -1)) * 2,
+], ids=["one byte", "two bytes", "fibonacci", "period", "two runs", "rising", "falling"])
+def test_names_that_tie_are_sorted_by_the_same_algorithm(monkeypatch, body):
+    """Degenerate texts, by doubled ranks; each level has at most half the symbols of the one above."""
+    text = np.append(body, 0).astype(np.uint16)
+    rank = text.astype(np.int64)
+    for k in (2**i for i in range(14)):
+        ahead = np.append(rank[k:], np.full(min(k, len(rank)), -1))[:len(rank)]
+        rank = np.unique(np.stack([rank, ahead], 1), axis=0, return_inverse=True)[1].reshape(-1)
+    levels, whole = [], suffix.suffix_array
+
+    def watched(part):
+        levels.append(len(part))
+        return whole(part)
+
+    monkeypatch.setattr(suffix, "suffix_array", watched)
+    assert (rank[watched(text)] == np.arange(len(text))).all()
+    assert all(b <= a // 2 + 1 for a, b in zip(levels, levels[1:], strict=False))
+    if body[:2] == [1, 2] and len(body) == 6000:
+        assert len(levels) > 1
+
+
 @pytest.mark.parametrize("block", [7, 1 << 22])
 def test_runs_cover_every_string_once(monkeypatch, block):
     monkeypatch.setattr(repeats, "_BLOCK", block)
