@@ -9,7 +9,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.canonical import apply_schema, detect_columns
@@ -160,17 +160,20 @@ def _any_value(scan: DataFrame) -> Column:
 
 
 def _placed(scan: DataFrame, fields: int) -> DataFrame:
-    """The broken records of a scan with their places. Only parts of files that have any are numbered."""
+    """The broken records of a scan with their places.
+
+    A task reads a part of a file from its start to its end, so a record's number is its distance
+    from the part's first one. Only that is looked up: records that are whole are not moved.
+    """
     part = ["file", "block_start"]
     rows = scan.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("place"), F.when(_any_value(scan), F.col(_BROKEN)).alias("raw"),
     )
-    parts = rows.where(F.col("raw").isNotNull()).select(*part).distinct()
-    order = Window.partitionBy(*part).orderBy("place")
-    numbered = rows.join(parts, part, "left_semi").withColumn("record", F.row_number().over(order).cast("long"))
-    return numbered.where(F.col("raw").isNotNull()).select(
-        *part, "record", F.lit(fields).alias("fields"), "raw"
+    firsts = rows.groupBy(*part).agg(F.min("place").alias("first"), F.count("raw").alias("broken"))
+    firsts = firsts.where(F.col("broken") > 0).drop("broken")
+    return rows.where(F.col("raw").isNotNull()).join(firsts, part).select(
+        *part, (F.col("place") - F.col("first") + 1).alias("record"), F.lit(fields).alias("fields"), "raw"
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,11 +122,14 @@ BROKEN_HEADER = (
     "Total Amount Reimbursed",
 )
 
+RECORDS_PER_FILE = 500_000
+
 
 def export_with_broken_records(spark: SparkSession, folder: str, path: str, files: int = 8) -> None:
     """The claims as CSV text, with faults by line number.
 
-    Records of line 1 lack their last two fields, those of line 2 have two more, and those of
+    ``files`` is the least number of files; larger tables have one for each RECORDS_PER_FILE line
+    items of either half, as a file is one task's sort. Records of line 1 lack their last two fields, those of line 2 have two more, and those of
     line 3 have a line break within a quoted name, which is no fault.
     """
     line = F.col("l_linenumber")
@@ -133,6 +139,7 @@ def export_with_broken_records(spark: SparkSession, folder: str, path: str, file
         F.col("l_quantity").cast("int"), F.lit(1), F.col("l_extendedprice").cast("decimal(18,2)"),
     ]
     fields = [f.cast("string") for f in fields]
+    files = max(files, 2 * ceil(_table(spark, folder, "lineitem").count() / RECORDS_PER_FILE))
     record = (
         F.when(line == 1, F.concat_ws(",", *fields[:-2]))
         .when(line == 2, F.concat_ws(",", *fields, F.lit("x"), F.lit("y")))
@@ -147,10 +154,22 @@ def export_with_broken_records(spark: SparkSession, folder: str, path: str, file
     whole = rows.unionByName(heads).repartitionById(files, "part").sortWithinPartitions("place")
     whole.select("value").write.text(path)
     # the writer names its files .txt
+    _move_files(spark, path, path, lambda name: name.removesuffix(".txt") + ".csv" if name.endswith(".txt") else None)
+
+
+def _move_files(spark: SparkSession, source: str, target: str, named: Callable[[str], str | None]) -> int:
+    """Rename files of a folder into another, each as ``named`` says unless that is None; how many."""
     java = spark._jvm.org.apache.hadoop.fs
-    target = java.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in system.listStatus(target):
+    start, end = java.Path(source), java.Path(target)
+    system = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(start):
+        return 0
+    system.mkdirs(end)
+    moved = 0
+    for status in system.listStatus(start):
         name = status.getPath()
-        if name.getName().endswith(".txt"):
-            system.rename(name, java.Path(name.getParent(), name.getName().removesuffix(".txt") + ".csv"))
+        if (new := named(name.getName())) is not None:
+            if not system.rename(name, java.Path(end, new)):
+                raise OSError(f"{name.toString()} could not be moved to {target}")
+            moved += 1
+    return moved
