@@ -173,3 +173,16 @@ def _move_files(spark: SparkSession, source: str, target: str, named: Callable[[
                 raise OSError(f"{name.toString()} could not be moved to {target}")
             moved += 1
     return moved
+
+
+def export_batches(rows: DataFrame, batch: Column, path: str) -> None:
+    """Rows as CSV extracts, a folder for each batch number, from one pass over the rows."""
+    rows.withColumn("batch", batch).write.partitionBy("batch").option("header", True).csv(path)
+
+
+def deliver_batch(rows: DataFrame, path: str, number: int, target: str) -> None:
+    """Move the extract of one batch into a folder; one without rows is a header alone."""
+    name = lambda file: f"batch-{number}-{file}" if file.endswith(".csv") else None
+    if not _move_files(rows.sparkSession, f"{path}/batch={number}", target, name):
+        empty = rows.sparkSession.createDataFrame([], rows.schema)
+        empty.write.mode("append").option("header", True).csv(target)

@@ -467,8 +467,9 @@ def pipeline_incremental_query(spark, folder):
     late = F.pmod(F.xxhash64(*rows.columns), F.lit(20))
     year = F.coalesce(F.col("Year").try_cast("int"), F.lit(0))
     batch = F.when(late == 0, 3).when((late == 1) | ((year >= 1998) & (year < 2001)), 2).when(year >= 2001, 3).otherwise(1)
+    source.export_batches(rows, batch, f"{path}/batches")
     for number in (1, 2, 3):
-        rows.where(batch == number).write.mode("append").option("header", True).csv(f"{path}/raw")
+        source.deliver_batch(rows, f"{path}/batches", number, f"{path}/raw")
         stages = refresh(spark, f"{path}/raw", f"{path}/store", CENTS)
     return shown(stages.risks)
 

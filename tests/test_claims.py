@@ -1,8 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from claimtrends.sources import read_raw_csvs, stage_tables
 from suite import claims as source
+from suite.queries import QUERIES
 
 ROWS = 400
 
@@ -50,3 +53,42 @@ def test_places_are_found_without_moving_whole_records(spark, tmp_path):
     plan = quarantine._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
     assert [(r.record, r.raw) for r in quarantine.orderBy("record").collect()] == [(i, f"CA,{i},extra") for i in (500, 1000, 1500, 2000)]
+
+
+def test_batches_are_made_by_one_pass(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return str(value)
+
+    text = counted.asNondeterministic()
+    rows = spark.range(0, 90, 1, 3).select(text("id").alias("NDC"), F.when(F.col("id") % 9 > 0, F.lit("a,\"b\"")).alias("State"))
+    batch = F.when(F.col("NDC").cast("int") % 3 == 0, 3).otherwise(1)
+    source.export_batches(rows, batch, f"{tmp_path}/batches")
+    held = []
+    for number in (1, 2, 3):
+        source.deliver_batch(rows, f"{tmp_path}/batches", number, f"{tmp_path}/raw")
+        held.append({int(r.NDC) for r in read_raw_csvs(spark, f"{tmp_path}/raw").collect()})
+    assert held == [{i for i in range(90) if i % 3}] * 2 + [set(range(90))]
+    states = read_raw_csvs(spark, f"{tmp_path}/raw").groupBy("State").count().collect()
+    assert {(r.State, r["count"]) for r in states} == {(None, 10), ('a,"b"', 80)}
+    assert seen.value == 90
+
+
+def test_incremental_query_makes_its_claims_once(spark, folder, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    text, whole = counted.asNondeterministic(), source.raw_claims
+    monkeypatch.setattr(source, "raw_claims", lambda *a: whole(*a).withColumn("State", text("State")))
+    with stage_tables(spark):
+        found = QUERIES["pipeline_incremental"](spark, folder).count()
+        assert seen.value == ROWS
+        monkeypatch.undo()
+        assert found == QUERIES["pipeline_risks"](spark, folder).count() > 0
