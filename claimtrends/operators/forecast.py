@@ -58,15 +58,17 @@ def quarter_points(frame: DataFrame) -> DataFrame:
 
 
 def _fits(points: DataFrame) -> DataFrame:
-    """Trend, seasonal indices and residual deviation, one row per series.
+    """Trend, seasonal indices and residual deviation, one row per series of ``MIN_POINTS`` rows or more.
 
-    A season seen once would fit itself, so only one seen twice has an index of its own. The
-    squared residuals are divided by the points less the fitted parameters; where none are left
-    the deviation is null. Windows and the last aggregation share one exchange on the series keys.
+    Shorter series have no forecast, so they go before anything is fitted. A season seen once
+    would fit itself, so only one seen twice has an index of its own. The squared residuals are
+    divided by the points less the fitted parameters; where none are left the deviation is null.
+    Windows and the last aggregation share one exchange on the series keys.
     """
     series = Window.partitionBy(*SERIES)
     season = Window.partitionBy(*SERIES, "season")
-    timed = points.withColumns({"t": quarter_index(F.col("ds")), "season": F.quarter("ds")})
+    enough = points.withColumn("points", F.sum("rows").over(series)).where(F.col("points") >= MIN_POINTS)
+    timed = enough.withColumns({"t": quarter_index(F.col("ds")), "season": F.quarter("ds")})
     trended = timed.withColumns({
         "slope": F.coalesce(F.regr_slope("y", "t").over(series), F.lit(0.0)),
         "mean_t": F.avg("t").over(series),
@@ -77,13 +79,13 @@ def _fits(points: DataFrame) -> DataFrame:
     seasonal = trended.withColumn("seen", F.count(usable).over(season)).withColumn(
         "index", F.when(F.col("seen") > 1, F.avg(usable).over(season)).otherwise(1.0)
     )
-    own_season = F.collect_set(F.when(F.col("seen") > 1, F.col("season")))
+    own_season = [F.max(F.when((F.col("season") == s) & (F.col("seen") > 1), 1).otherwise(0)) for s in range(1, 5)]
     residual = F.col("y") - F.col("base") * F.col("index")
     indices = [
         F.max(F.when(F.col("season") == s, F.col("index"))).alias(f"index_{s}") for s in range(1, 5)
     ]
     return seasonal.groupBy(*SERIES).agg(
-        F.sum("rows").alias("points"),
+        F.first("points").alias("points"),
         F.max("ds").alias("last"),
         F.first("slope").alias("slope"),
         F.first("mean_t").alias("mean_t"),
@@ -91,7 +93,7 @@ def _fits(points: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("quarters"),
         (F.var_pop("t") * F.count("t")).alias("spread"),
         F.sum(residual * residual).alias("squares"),
-        F.size(own_season).alias("seasons"),
+        sum(own_season[1:], own_season[0]).alias("seasons"),
         *indices,
     ).withColumn("left", F.col("quarters") - F.least("quarters", F.lit(2)) - F.col("seasons")).withColumn(
         "deviation", F.when(F.col("left") > 0, F.sqrt(F.col("squares") / F.col("left")))

@@ -774,6 +774,12 @@ def _chosen(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return aggregates, checkpoint_table(universe, "universe")
 
 
+def _everything(aggregates: DataFrame) -> DataFrame:
+    """Every series of the table as a stored universe: its keys and latest product name."""
+    latest = serve.latest_per_series(aggregates)
+    return checkpoint_table(latest.select(*DRUG_SERIES.keys, "product_name_fda10"), "universe")
+
+
 def _batch(spark: SparkSession, folder: str) -> DataFrame:
     aggregates, universe = _chosen(spark, folder)
     return forecast.run_batch_forecasts(aggregates, universe, METRIC)
@@ -793,7 +799,7 @@ def forecast_universe_units_query(spark, folder):
 def forecast_short_series_query(spark, folder):
     """One code per part: most series are too short and say so."""
     aggregates = aggregates_from_claims(source.claims(spark, folder, sparse=True), CENTS)
-    everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
+    everything = _everything(aggregates)
     frame = forecast.series_frame(aggregates, everything, METRIC)
     rows = forecast.forecast_seasonal_trend(frame, everything, METRIC)
     # Few points in cents often forecast half a cent: noise of addition goes before rounding.
@@ -814,7 +820,7 @@ def series_frame_query(spark, folder):
 def forecast_seasonal_trend_query(spark, folder):
     """Every series of the table, not only the largest."""
     aggregates = _aggregates(spark, folder)
-    everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
+    everything = _everything(aggregates)
     frame = forecast.series_frame(aggregates, everything, "units")
     return shown(forecast.forecast_seasonal_trend(frame, everything, "units"))
 
@@ -836,7 +842,7 @@ def forecast_changepoint_query(spark, folder):
 def forecast_backtest_query(spark, folder):
     """What every series of the table would have been forecast at each earlier quarter."""
     aggregates = _aggregates(spark, folder)
-    everything = checkpoint_table(serve.latest_per_series(aggregates), "universe")
+    everything = _everything(aggregates)
     rows = changepoints.backtest(forecast.series_frame(aggregates, everything, METRIC))
     return shown(rows, forecast=1, actual=4, error=1)
 

@@ -6,7 +6,7 @@ from conftest import series
 
 from claimtrends.columns import FORECAST_SCHEMA
 from claimtrends.operators import forecast
-from claimtrends.operators.serve import history_with_forecast
+from claimtrends.operators.serve import history_with_forecast, latest_per_series
 
 
 def run(table, model=None, k=50, metric="spend"):
@@ -145,3 +145,17 @@ def test_a_model_cannot_stop_the_others(spark, aggregates, kind, message):
     assert sorted(r.forecast_value for r in rows if r.ndc11 == "1") == [1.0] * 4
     bad = [r for r in rows if r.ndc11 == "2"]
     assert len(bad) == 1 and message in bad[0].error and bad[0].error and bad[0].forecast_value is None
+
+
+def test_only_series_long_enough_are_fitted(aggregates):
+    rows = [*series([1.0, 2.0, 3.0, 4.0, 5.0], ndc="long"), *series([1.0, 2.0, 3.0], ndc="short"),
+            *[("CA", "names", p, 0, 2.0) for p in "ABCD"], ("CA", None, "A", 0, 1.0)]
+    table = aggregates(rows)
+    everything = latest_per_series(table)
+    frame = forecast.series_frame(table, everything)
+    fits = forecast._fits(forecast.quarter_points(frame)).collect()
+    assert {(r.ndc11_normalized, r.points, r.quarters, r.seasons) for r in fits} == {("long", 5, 5, 1), ("names", 4, 1, 0)}
+    found = forecast.forecast_seasonal_trend(frame, everything).collect()
+    assert sorted((str(r.ndc11), r.error, r.forecast_date is None) for r in found) == sorted(
+        [(n, None, False) for n in ("long", "names") for _ in range(4)]
+        + [(n, forecast.TOO_SHORT, True) for n in ("None", "short")])
